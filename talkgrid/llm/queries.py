@@ -8,17 +8,42 @@ from pyspark.sql import DataFrame, SparkSession
 
 from talkgrid.llm import oracles
 from talkgrid.llm.common import table
+from talkgrid.llm.decontaminate import contamination
+from talkgrid.llm.language_id import identify
 from talkgrid.llm.near_dedup import near_groups
+from talkgrid.llm.quality_rules import quality
+from talkgrid.llm.toxicity import toxicity
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op2_toxicity": op2_toxicity,
+    "op6_quality_rules": op6_quality_rules,
+    "op9_language_id": op9_language_id,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
 ORACLES: dict[str, str] = {
+    "op4_benchmark_decontamination": oracles.LEAKS,
     "op10_minhash_near_dedup": oracles.NEAR,
 }
