@@ -28,26 +28,24 @@ from talkgrid.llm.decontaminate import words_of
 from talkgrid.llm.language_id import sample_by
 
 HIDDEN, SPAN, STRIDE = 8, 24, 12
-SAMPLE, LONGEST = {1: 700, 0: 1500}, 8000
+SAMPLE, LONGEST = {1: 600, 0: 1200}, 8000
 GRAMS, CELLS, WORDS, ROWS, WIDE = (4, 5, 6), 1 << 19, 1 << 17, 1 << 12, 6
 DIM = 2 * WIDE + 3
-STEPS, BATCH, THRESHOLD = 240, 160, 0.7
+STEPS, BATCH, THRESHOLD = 200, 144, 0.7
 
 
-def _grams(words: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+def _grams(words: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """For each length, the owner and the hash of every character n-gram of `^word$`."""
     line = np.frombuffer(b"".join(b"\x02" + w + b"\x03" for w in words), np.uint8).astype(np.uint64)
     owner = np.repeat(np.arange(len(words)), [len(w) + 2 for w in words])
-    found = []
+    found = {}
     for n in GRAMS:
-        if len(line) < n:
-            continue
-        code = np.zeros(len(line) - n + 1, np.uint64)
+        code = np.zeros(max(0, len(line) - n + 1), np.uint64)
         for k in range(n):
-            code = code * np.uint64(0x100000001B3) + line[k : len(line) - n + 1 + k] + np.uint64(1)
-        whole = owner[: len(code)] == owner[n - 1 :]
+            code = code * np.uint64(0x100000001B3) + line[k : k + len(code)] + np.uint64(1)
+        whole = owner[: len(code)] == owner[n - 1 : n - 1 + len(code)]
         code = (code ^ (code >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        found.append((owner[: len(code)][whole], (code ^ (code >> np.uint64(32)))[whole]))
+        found[n] = owner[: len(code)][whole], (code ^ (code >> np.uint64(32)))[whole]
     return found
 
 
@@ -67,19 +65,19 @@ class Words:
     def __init__(self, words: list[bytes]) -> None:
         self.n, h = len(words), _word_hash(words)
         self.word_row, self.word_cell = (h % np.uint64(ROWS)).astype(np.int64), (h >> np.uint64(20)).astype(np.int64) % WORDS
-        parts = _grams(words)
-        self.owner = np.concatenate([o for o, _ in parts]) if parts else np.zeros(0, np.int64)
-        g = np.concatenate([x for _, x in parts]) if parts else np.zeros(0, np.uint64)
-        order = np.argsort(self.owner, kind="stable")
-        self.owner, g = self.owner[order], g[order]
-        self.row, self.cell = (g % np.uint64(ROWS)).astype(np.int64), (g >> np.uint64(20)).astype(np.int64) % CELLS
-        self.has, self.first, self.count = np.unique(self.owner, return_index=True, return_counts=True)
-
-    def best(self, value: np.ndarray) -> np.ndarray:
-        """Each word's largest value over its n-grams."""
+        self.parts = []
+        for n, (owner, g) in _grams(words).items():
+            has, first, count = np.unique(owner, return_index=True, return_counts=True)
+            self.parts.append((owner, (g >> np.uint64(20)).astype(np.int64) % CELLS, has, first))
+            if n == GRAMS[0]:  # the embedded ones
+                self.owner, self.row, self.has, self.first, self.count = owner, (g % np.uint64(ROWS)).astype(np.int64), has, first, count
+
+    def best(self, value) -> np.ndarray:
+        """Each word's largest value(cells) over its n-grams."""
         out = np.zeros(self.n, np.float32)
-        if len(self.has):
-            out[self.has] = np.maximum.reduceat(value, self.first)
+        for _, cell, has, first in self.parts:
+            if len(has):
+                out[has] = np.maximum(out[has], np.maximum.reduceat(value(cell), first))
         return out
 
     def mean(self, table: np.ndarray) -> np.ndarray:
@@ -88,6 +86,11 @@ class Words:
             out[self.has] = np.add.reduceat(table[self.row], self.first) / self.count[:, None]
         return out
 
+    def cells(self) -> tuple[np.ndarray, np.ndarray]:
+        """All words' n-gram cells, one word after another, and the n + 1 offsets."""
+        owner, cell = (np.concatenate([x[i] for x in self.parts]) for i in (0, 1))
+        return cell[np.argsort(owner, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=self.n))])
+
     def inputs(self, p: Params, word_odds: np.ndarray, gram_odds: np.ndarray) -> np.ndarray:
         return np.concatenate([p["word"][self.word_row], self.mean(p["char"]), word_odds[:, None], gram_odds[:, None], np.maximum(word_odds, gram_odds)[:, None] > 1], axis=1).astype(np.float32)
 
@@ -111,6 +114,11 @@ def _forward(p: Params, x: dict[str, np.ndarray], live: np.ndarray) -> tuple[np.
     return p["vf"] @ pool["f"] + p["vb"] @ pool["b"] + p["c"][0], {"s": s, "a": a, "pool": pool}
 
 
+def _added(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Rows of values summed by `at`."""
+    return np.stack([np.bincount(at, values[:, i], n) for i in range(values.shape[1])], axis=1)
+
+
 def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 60) -> np.ndarray:
     """Newton's method; the last weight is the bias."""
     x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
@@ -148,13 +156,9 @@ def train(texts: list[str], labels: list[int], seed: int = 3, steps: int = STEPS
     words = Words(spelled)
     counts = {k: np.zeros((2, n), np.float32) for k, n in (("word", WORDS), ("gram", CELLS))}
     spread = [np.unique(np.fromiter((number[w] for w in d), np.int64, len(d))) for d in docs]
-    begin = np.zeros(words.n + 1, np.int64)
-    begin[words.has + 1] = words.count
-    begin = np.cumsum(begin)
-    cells = []
+    cell, begin = words.cells()
     for own, t in zip(spread, y, strict=True):
-        g = np.unique(np.concatenate([words.cell[begin[i] : begin[i + 1]] for i in own])) if len(own) else np.zeros(0, np.int64)
-        cells.append(g)
+        g = np.unique(np.concatenate([cell[begin[i] : begin[i + 1]] for i in own])) if len(own) else np.zeros(0, np.int64)
         counts["gram"][int(t), g] += 1
         counts["word"][int(t), np.unique(words.word_cell[own])] += 1
     # each distinct (document, word) is an input row of its own, as it leaves its document out
@@ -165,7 +169,7 @@ def train(texts: list[str], labels: list[int], seed: int = 3, steps: int = STEPS
         w_cell = words.word_cell[own]
         wa, wb = counts["word"][1, w_cell] - t, counts["word"][0, w_cell] - (not t)
         word_odds.append(lower_bound(wa, wb, toxic - int(t), clean - int(not t)))
-        part = [words.cell[begin[i] : begin[i + 1]] for i in own]
+        part = [cell[begin[i] : begin[i + 1]] for i in own]
         if part:
             flat = np.concatenate(part)
             value = lower_bound(counts["gram"][1, flat] - t, counts["gram"][0, flat] - (not t), toxic - int(t), clean - int(not t))
@@ -208,7 +212,7 @@ def train(texts: list[str], labels: list[int], seed: int = 3, steps: int = STEPS
     pos, neg = np.flatnonzero(y), np.flatnonzero(~y)
     quiet = np.flatnonzero(~y[doc])
     for step in range(steps):
-        if step and step % 30 == 0:
+        if step and step % 40 == 0:
             best = _top(logits(), doc, len(docs))[1]
         adam.rate = 0.02 * (1 - 0.9 * step / steps)
         third = BATCH // 3
@@ -240,12 +244,10 @@ def train(texts: list[str], labels: list[int], seed: int = 3, steps: int = STEPS
             dx = dx.transpose(0, 2, 1).reshape(len(flat), -1)
             grads[f"w{d}"], grads[f"b{d}"] = dx.T @ feats, dx.sum(axis=0)
             df += dx @ p[f"w{d}"]
-        by_word = np.zeros((part.n, 2 * WIDE), np.float32)
-        np.add.at(by_word, back, df[:, : 2 * WIDE])
-        grads["word"], grads["char"] = np.zeros_like(p["word"]), np.zeros_like(p["char"])
-        np.add.at(grads["word"], part.word_row, by_word[:, :WIDE])
-        if len(part.has):
-            np.add.at(grads["char"], part.row, (by_word[part.has, WIDE:] / part.count[:, None])[np.searchsorted(part.has, part.owner)])
+        by_word = _added(back, df[:, : 2 * WIDE], part.n)
+        share = np.zeros((part.n, WIDE))
+        share[part.has] = by_word[part.has, WIDE:] / part.count[:, None]
+        grads["word"], grads["char"] = _added(part.word_row, by_word[:, :WIDE], ROWS), _added(part.row, share[part.owner], ROWS)
         adam.step({k: (v + 1e-4 * p[k]).astype(np.float32) for k, v in grads.items()})
     x, _ = _top(logits(), doc, len(docs))
     return {
@@ -265,7 +267,7 @@ class Scorer:
             self.known, self.rows = {b"": 0}, np.zeros((0, 6 * HIDDEN), np.float32)
             words = [b"", *(w for w in words if w)]
         p, w = self.m["p"], Words(words)
-        feats = w.inputs(p, self.m["word_odds"][w.word_cell], w.best(self.m["gram_odds"][w.cell]))
+        feats = w.inputs(p, self.m["word_odds"][w.word_cell], w.best(self.m["gram_odds"].__getitem__))
         new = np.concatenate([feats @ p["wf"].T + p["bf"], feats @ p["wb"].T + p["bb"]], axis=1)
         if not len(self.rows):
             new[0] = 0
