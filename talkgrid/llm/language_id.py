@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -194,3 +195,19 @@ def identify(docs: DataFrame, rows: int = SAMPLE, keep: list[str] | None = None)
         return out.drop("text").withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
     schema = out.drop("text").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
     return out.mapInArrow(label_texts(docs.sparkSession.sparkContext.broadcast(model), langs), schema)
+
+
+def keep_known(docs: DataFrame, rows: int = SAMPLE, least: float = 0.4) -> DataFrame:
+    """The rows of `docs`, whole, in which a language is made out: not `und`, and with a score of `least` or
+    more. Without learnable languages every row with a letter stays."""
+    model, langs = learn(docs, rows)
+    if not langs:
+        return docs.where(F.col("text").cast("string").rlike(r"\p{L}"))
+    run = label_texts(docs.sparkSession.sparkContext.broadcast(model), langs)
+
+    @F.pandas_udf("double")
+    def score(text: pd.Series) -> pd.Series:
+        batch = pa.RecordBatch.from_arrays([pa.array(text, pa.string(), from_pandas=True)], names=["text"])
+        return next(run(iter([batch]))).column("score").to_pandas() if len(text) else pd.Series([], dtype=float)
+
+    return docs.where(score(F.col("text").cast("string")) >= least)
