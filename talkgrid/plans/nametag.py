@@ -1,0 +1,29 @@
+"""Nametag: who speaks each cue, read off the video's name labels."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from talkgrid.functions.fuzzy import resolve
+from talkgrid.functions.geometry import layout, name_band, speaker_tile
+from talkgrid.operators.spans import cue_frame_times
+from talkgrid.operators.votes import UNKNOWN, best_engine, vote_cues
+from talkgrid.sources.media import detect_tiles, read_names, sample_frames
+
+
+def name_cues(cues: DataFrame, videos: DataFrame, candidates: Sequence[str], frames: Callable, tiles: Callable, engines: Sequence[Callable]) -> DataFrame:
+    """Cues with name, votes and frames_used. videos: (recording_id, path). A frame serves every cue that asks for
+    its millisecond, and is cut, searched and read once."""
+    times = cue_frame_times(cues).join(videos, "recording_id")
+    cut = sample_frames(times, frames)
+    found = detect_tiles(cut, tiles).withColumn("layout", layout(F.col("tiles"))).withColumn("tile", speaker_tile(F.col("tiles"))).where("tile IS NOT NULL")
+    bands = found.join(cut, ["recording_id", "ms"]).withColumn("band", name_band(F.col("tile"), F.col("width"), F.col("height"))).select("recording_id", "ms", "path", "band")
+    known = F.array(*[F.lit(c) for c in candidates]).cast("array<string>")
+    read = read_names(bands, engines).withColumn("_m", resolve(F.col("text"), known)).select("recording_id", "ms", "engine_idx", "_m.*")
+    best = best_engine(read, ("recording_id", "ms"))
+    asked = times.select("recording_id", "cue_idx", "frame_idx", "ms").join(best, ["recording_id", "ms"], "left")
+    voted = vote_cues(asked.select("recording_id", "cue_idx", "frame_idx", "name", "score", "matched"))
+    return cues.drop("name").join(voted, ["recording_id", "cue_idx"], "left").withColumn("name", F.coalesce("name", F.lit(UNKNOWN))).na.fill({"frames_used": 0})
