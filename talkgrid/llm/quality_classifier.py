@@ -167,16 +167,17 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 def learn(docs: DataFrame, labels: DataFrame) -> dict | None:
     """A model from the sample; None unless both labels occur in it."""
-    y = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
-    rows = _texts(docs).where(~held_out())
-    known = rows.join(y, "doc_id")
-    counts = dict(known.groupBy("quality").count().collect())
+    y = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
+    rows = _texts(docs)
+    counts = dict(y.groupBy("quality").count().collect())
     if len(counts) < 2:
         return None
-    labelled = sample_by(known, "quality", LABELLED).select("doc_id", "text", "lang", "source", "quality")
-    free = bounded_sample(rows.select("doc_id").join(y, "doc_id", "left_anti"), "doc_id", POOL)
-    pool = rows.join(F.broadcast(free.distinct()), "doc_id").withColumn("quality", F.lit(None).cast("int")).limit(2 * POOL)
-    found = labelled.unionByName(pool.select(*labelled.columns)).mapInArrow(_vectors, "doc_id long, quality int, a binary, b binary").toArrow().sort_by([("doc_id", "ascending"), ("a", "ascending")])
+    # only ids meet here; the few chosen are then sent to the texts
+    chosen = sample_by(y, "quality", LABELLED).select("doc_id", "quality").limit(3 * LABELLED)
+    free = bounded_sample(rows.where(~held_out()).select("doc_id").join(y, "doc_id", "left_anti").where("doc_id IS NOT NULL"), "doc_id", POOL)
+    wanted = chosen.unionByName(free.distinct().withColumn("quality", F.lit(None).cast("int")))
+    sample = rows.join(F.broadcast(wanted), "doc_id").limit(4 * (LABELLED + POOL))
+    found = sample.select("doc_id", "text", "lang", "source", "quality").mapInArrow(_vectors, "doc_id long, quality int, a binary, b binary").toArrow().sort_by([("doc_id", "ascending"), ("a", "ascending")])
     if not found.num_rows:
         return None
     quality = found.column("quality").to_pandas().to_numpy(dtype=float)
