@@ -31,7 +31,7 @@ CHROME, LOOSE, ARTICLE = 0, 1, 2
 RUN, GROUP, MOSTLY = 8, 8 << 20, 0.8
 COMMON, LEAST = 0.6, 5
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>|[^<]+|<""", re.S)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>|</?[a-zA-Z][^>]*\Z|[^<]+|<""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][\w:.-]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 # Fixed values of HTML: elements by what they do to text.
 _RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp", "noembed", "noframes"}
@@ -89,7 +89,7 @@ def blocks_of(page: str | None) -> list[tuple[int, str]]:
         at = m.end()
         tag = m[2]
         if tag is None:
-            if not m[0].startswith(("<!", "<?")):
+            if m[0] == "<" or m[0][0] != "<":
                 parts.append(m[0])
             elif m[0].startswith("<![CDATA["):
                 parts.append(m[0][9:].removesuffix("]]>"))
@@ -150,7 +150,8 @@ def suffix_order(tokens: np.ndarray, run: int = RUN) -> tuple[np.ndarray, np.nda
     while depth < run:
         step = min(depth, run - depth)
         after = np.full(n, -1, np.int64)
-        after[: n - step] = rank[step:]
+        if n > step:
+            after[: n - step] = rank[step:]
         rank = np.unique(rank * (n + 1) + after + 1, return_inverse=True)[1].astype(np.int64)
         depth += step
     order = np.argsort(rank, kind="stable")
