@@ -7,6 +7,9 @@ shards of at most about `SHARD` top-order entries, dealt by the byte before the
 that one prediction needs then lie in one shard. A model of one shard, the usual case, is scored in one
 pass; with more, each shard is a pass that scores its own positions. So what a task holds is bounded.
 
+The corpus holds the document that is scored, so an n-gram seen once is that document's own: it is scored
+as unseen, by backing off (and so on down the orders). Else odd text would vouch for itself.
+
 A document is rejected if its log perplexity lies outside its language's band: the median, plus and minus
 `SLACK`, `SPREADS` robust standard deviations, and an allowance for short texts.
 """
@@ -168,12 +171,13 @@ def discounts(counts_of_counts: dict[tuple[int, int, int], int], order: int, lan
 
 
 class Model:
-    """A shard: log probabilities of the n-grams of every order, and back-off weights of their contexts."""
+    """A shard: log probabilities of the n-grams of every order, and back-off weights of their contexts.
+    `own`: the texts to score are part of the counts."""
 
-    def __init__(self, tables: dict[int, tuple[np.ndarray, np.ndarray]], counts_of_counts: dict) -> None:
+    def __init__(self, tables: dict[int, tuple[np.ndarray, np.ndarray]], counts_of_counts: dict, own: bool = True) -> None:
         self.levels: dict[int, HashArray] = {}
         self.weights: dict[int, HashArray] = {}
-        codes_below, p_below = None, None
+        codes_below, p_below, q_below = None, None, None
         for n in range(1, ORDER + 1):
             codes, c = tables[n]
             order = np.argsort(codes)
@@ -187,13 +191,14 @@ class Model:
             total = np.add.reduceat(c, first) if len(first) else c
             gamma = np.add.reduceat(cut, first) / total if len(first) else c
             p = (c - cut) / np.repeat(total, size)
-            if n == 1:
-                p += np.repeat(gamma, size) / 257
-            else:
-                p += np.repeat(gamma, size) * p_below[np.searchsorted(codes_below, _suffix(codes, n - 1))]
-            self.levels[n] = HashArray(codes, np.log(p))
+            back = np.repeat(gamma, size)
+            below = np.searchsorted(codes_below, _suffix(codes, n - 1)) if n > 1 else None
+            p += back * p_below[below] if n > 1 else back / 257
+            unseen = np.where(np.repeat(total, size) > 1, back, 1.0) * (q_below[below] if n > 1 else 1 / 257)
+            q = np.where(c == 1, unseen, p)
+            self.levels[n] = HashArray(codes, np.log(q if own and n == ORDER else p))
             self.weights[n] = HashArray(context[first], np.log(gamma))
-            codes_below, p_below = codes, p
+            codes_below, p_below, q_below = codes, p, q
 
     def __call__(self, codes: np.ndarray) -> np.ndarray:
         """log p(last byte | bytes before), natural."""
@@ -229,14 +234,14 @@ class KneserNey:
         self.entries = self.tables[ORDER].count()
         self.shards = max(1, min(256, math.ceil(self.entries / shard)))
 
-    def part(self, s: int) -> Model:
+    def part(self, s: int, own: bool = True) -> Model:
         tables = {}
         for n, t in self.tables.items():
             if self.shards > 1 and n > 1:
                 t = t.where(F.shiftright("code", 8).bitwiseAND(255) % self.shards == s)
             got = t.toArrow()
             tables[n] = got.column("code").to_numpy(), got.column("n").to_numpy()
-        return Model(tables, self.counts_of_counts)
+        return Model(tables, self.counts_of_counts, own)
 
 
 def _scored(model, shards: int, s: int, rules: bool):
@@ -301,7 +306,7 @@ def quality(docs: DataFrame, shard: int = SHARD) -> DataFrame:
     spread = (F.col("_q")[2] - F.col("_q")[0]) / 1.349
     bands = quartiles.select(F.col("lang").alias("_lang"), F.col("_q")[1].alias("_mid"), (F.lit(SLACK) + SPREADS * spread).alias("_wide"))
     joined = scored.join(bands, F.col("lang").eqNullSafe(F.col("_lang")), "left")
-    wide = F.col("_wide") + F.lit(SHORT) / F.sqrt("n_bytes")
+    wide = F.col("_wide") + F.lit(SHORT) / F.sqrt(F.greatest(F.col("n_bytes"), F.lit(1)))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     out = joined.withColumns({"base_failed": failed, "low": F.col("_mid") - wide, "high": F.col("_mid") + wide})
     verdict = ~F.col("base_failed") & F.coalesce(F.col("log_ppl").between(F.col("low"), F.col("high")), F.lit(False))
