@@ -211,7 +211,8 @@ def format_chats(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     repeated rows have a defined place; identical rows are all kept. A null turn comes first, rows without
     conv_id are one conversation, a null or unknown role is cheap to relabel, a null text is empty. A
     conversation's `rendered` pieces in that order, one after another, are its text; its `cost` sums to the
-    least possible. Where more than `block` rows share a turn number, that block is cut finer, by turn and
+    least possible; of several repairs at that cost, which one is taken is fixed, but may differ with `block`
+    in conversations longer than it. Where more than `block` rows share a turn number, that block is cut finer, by turn and
     text. Other columns are ignored; an empty table gives no rows.
     """
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
