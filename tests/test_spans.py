@@ -1,7 +1,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from talkgrid.operators import flags, glossary, ranking, spans, votes
 from talkgrid.errors import DictionaryError
