@@ -7,7 +7,6 @@ the columns of documents; the last returns the copies that the mixture is made o
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from talkgrid.llm.common import ship, stored, table
 from talkgrid.llm.decontaminate import contamination

@@ -36,3 +36,20 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
   sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
 """
+
+MIX = r"""
+WITH d AS (SELECT doc_id, source, n FROM (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n FROM documents) WHERE n > 0),
+s AS (SELECT source, CAST(sum(n) AS BIGINT) AS tok FROM d GROUP BY 1), g AS (SELECT CAST(sum(tok) AS DOUBLE) AS total, count(*) AS k, CAST(min(tok) AS DOUBLE) AS least FROM s),
+z AS (SELECT a, sum(pow(tok / total, a / 4096.0)) AS s0, sum(pow(tok / total, a / 4096.0) * ln(tok / total)) AS s1 FROM (SELECT unnest(range(4097)) AS a), s, g GROUP BY a),
+e AS (SELECT greatest(coalesce(max(a) FILTER (ln(s0) - a / 4096.0 * s1 / s0 >= 0.97 * ln(k) - 1e-9), 0), coalesce(min(a) FILTER (pow(least / total, a / 4096.0 - 1) / s0 <= 4.0 + 1e-9), 4096)) / 4096.0 AS alpha FROM z, g),
+w AS (SELECT source, tok, pow(tok / total, alpha) / (SELECT sum(pow(tok / total, alpha)) FROM s, g, e) AS weight, CAST(least(4096, ceil(tok / 20000)) AS BIGINT) AS blocks FROM s, g, e),
+p AS (SELECT *, CAST(floor(weight * total + 1e-6) AS BIGINT) AS due FROM w, g),
+q AS (SELECT source, tok, weight, blocks, due // tok AS whole, due - due // tok * tok AS rest FROM p),
+x AS (SELECT d.*, q.weight, q.whole, q.rest, md5('mix|' || CAST(doc_id AS VARCHAR)) AS place, q.blocks FROM d JOIN q USING (source)),
+y AS (SELECT *, CAST('0x' || substr(place, 1, 8) AS BIGINT) % blocks AS block FROM x),
+b AS (SELECT source, block, sum(n) AS size, any_value(rest) AS rest, md5('mix|block|' || source || '|' || CAST(block AS VARCHAR)) AS mark FROM y GROUP BY 1, 2),
+o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY mark, block) AS block_rank, rest - coalesce(sum(size) OVER (PARTITION BY source ORDER BY mark, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS free FROM b),
+v AS (SELECT y.*, o.block_rank, o.free, o.size, sum(n) OVER (PARTITION BY y.source, y.block ORDER BY place, doc_id, n ROWS UNBOUNDED PRECEDING) AS seen FROM y JOIN o ON o.source = y.source AND o.block = y.block),
+c AS (SELECT *, whole + CASE WHEN free >= size OR (free > 0 AND seen <= free) THEN 1 ELSE 0 END AS copies FROM v)
+SELECT doc_id, source, n AS n_tokens, unnest(range(1, copies + 1)) AS epoch, round(weight, 9) AS weight, CAST(block_rank AS BIGINT) AS block_rank, place FROM c
+"""

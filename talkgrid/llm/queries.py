@@ -75,5 +75,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op4_benchmark_decontamination": oracles.LEAKS,
+    "op8_mixing_sources": oracles.MIX,
     "op10_minhash_near_dedup": oracles.NEAR,
 }
