@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 import zipfile
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
@@ -47,6 +48,18 @@ def scratch(spark: SparkSession) -> str:
     return root
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within this, what runs hands Python at most `rows` rows at a time: for rows that may be large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
@@ -97,17 +110,6 @@ def in_slices(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         first = min(last, n)
 
 
-def per_batch(work: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A mapInArrow function from one that maps a batch; empty batches pass no rows on."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield work(batch)
-
-    return run
-
-
 def bounded_sample(df: DataFrame, by: str, rows: int, seed: int = 7) -> DataFrame:
     """At most `rows` rows, the smallest by a salted hash of `by`: the same rows whatever the partitioning."""
     return df.withColumn("_r", F.xxhash64(F.lit(seed), F.col(by))).orderBy("_r", by).limit(rows).drop("_r")

@@ -2,7 +2,7 @@
 
 A document's set is its distinct word shingles. One Arrow pass over the texts makes, for each
 document, a 128-bit fingerprint of the set, `K` MinHash samples folded into an odd sketch (a parity
-bitmap) and the keys of `BANDS` bands. Documents with equal fingerprints are one class, so only class
+bitmap) and the keys of its bands. Documents with equal fingerprints are one class, so only class
 representatives go on:
 
 1. In each band bucket every member is paired with the bucket's smallest id, never with all others.
@@ -10,9 +10,10 @@ representatives go on:
    threshold go. The margin is five standard errors of the estimate.
 3. What stays is confirmed on full shingle sets, and links become components (large star, small star).
 4. Buckets that still hold several components are searched for links *across* components, in blocks
-   of bounded size, again by sketch and then by full sets. So no link that a bucket holds is lost.
+   of bounded size, again by sketch and then by full sets. So no link between components is lost.
 
-At similarity 0.85 a pair shares no bucket with probability (1 - 0.85**5)**25 = 4e-7.
+Bands of 5 samples (25 of them) serve thresholds from 0.85 on, bands of 4 (32) lower ones. A pair at 0.85
+shares no bucket with probability (1 - 0.85**5)**25 = 4e-7, one at 0.8 with (1 - 0.8**4)**32 = 5e-8.
 """
 
 from __future__ import annotations
@@ -25,11 +26,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talkgrid.llm.common import discard, stored
+from talkgrid.llm.common import discard, small_batches, stored
 
-K, BANDS, ROWS, BITS = 128, 25, 5, 1024
+K, BITS = 128, 1024
 #: Most members of a bucket block that are held against another block at once.
-BLOCK = 2048
+BLOCK, BLOCK_SHINGLES = 2048, 2_000_000
+#: Bits of the bitmap of wanted ids.
+FILTER = 1 << 24
+#: Rows that carry whole shingle sets are handed to Python so many at a time.
+LARGE_ROWS = 256
 
 FEATURES = "doc_id long, n_shingles long, fp binary, bands array<long>, sketch binary"
 
@@ -51,7 +56,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Texts to sorted arrays of 64-bit shingle hashes."""
 
-    def __init__(self, width: int, most_words: int = 400_000) -> None:
+    def __init__(self, width: int, most_words: int = 150_000) -> None:
         self.width, self.most, self.known = width, most_words, {}
 
     def __call__(self, text: str | None) -> np.ndarray:
@@ -87,10 +92,15 @@ def odd_sketch(least: np.ndarray) -> bytes:
     return np.packbits(np.bincount(at.astype(np.int64), minlength=BITS).astype(np.uint8) & 1).tobytes()
 
 
-def band_keys(least: np.ndarray) -> np.ndarray:
-    rows = least[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64)
-    x = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for i in range(ROWS):
+def band_rows(percent: int) -> int:
+    return 5 if percent >= 85 else 4
+
+
+def band_keys(least: np.ndarray, wide: int) -> np.ndarray:
+    bands = K // wide
+    rows = least[: bands * wide].reshape(bands, wide).astype(np.uint64)
+    x = np.arange(1, bands + 1, dtype=np.uint64)
+    for i in range(wide):
         x = _mix(x * np.uint64(0x9E3779B97F4A7C15) + rows[:, i])
     return x.view(np.int64)
 
@@ -101,7 +111,7 @@ def most_odd_bits(threshold: float) -> int:
     return int(np.ceil(BITS / 2 * (1 - (1 - 2 / BITS) ** (2 * K * (1 - j)))))
 
 
-def _features(width: int):
+def _features(width: int, wide: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(width)
         for batch in batches:
@@ -112,7 +122,7 @@ def _features(width: int):
                 if len(x):
                     least = signature(x)
                     fps.append(xxhash.xxh3_128_digest(x.tobytes()))
-                    bands.append(band_keys(least))
+                    bands.append(band_keys(least, wide))
                     sketches.append(odd_sketch(least))
                 else:
                     fps.append(None), bands.append(None), sketches.append(None)
@@ -124,16 +134,6 @@ def _features(width: int):
     return run
 
 
-def _sets(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(width)
-        for batch in batches:
-            sets = [shingle(t.as_py()).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
-
-    return run
-
-
 def _near(percent: int):
     """Rows (a, b, sa, sb) to the (a, b) whose sets have 100 * |intersection| >= percent * |union|."""
 
@@ -164,39 +164,52 @@ def _close_by_sketch(most: int):
     return run
 
 
-def _across(most: int):
-    """Sorted bucket rows (cell, side, doc_id, comp, sketch) to pairs of different components with close
-    sketches. A cell holds two blocks of at most about BLOCK rows, so memory is bounded."""
+def _across(most: int, percent: int):
+    """Sorted bucket rows (cell, band, side, doc_id, comp, sketch, bands, shingles) to links that join different
+    components. A cell holds two blocks of bounded size. A pair is looked at in its first common band only;
+    once two components are joined, their other pairs are passed over, so a cell emits fewer links than rows."""
 
-    def pairs(rows: list) -> Iterator[pa.RecordBatch]:
-        side, ids, comp = (np.array([r[i] for r in rows]) for i in (0, 1, 2))
+    def links(band: int, rows: list) -> Iterator[pa.RecordBatch]:
+        side, ids = (np.array([r[i] for r in rows]) for i in (0, 1))
+        label = np.unique([r[2] for r in rows], return_inverse=True)[1]
         bits = np.frombuffer(b"".join(r[3] for r in rows), np.uint64).reshape(len(rows), BITS // 64)
+        keys = np.array([r[4] for r in rows], np.int64)
+        sets = [np.frombuffer(r[5], np.uint64) for r in rows]
+        size = np.array([len(x) for x in sets])
         one = side[0] == side[-1]  # a block held against itself
         left = np.arange(len(rows)) if one else np.flatnonzero(side == side[0])
         right = left if one else np.flatnonzero(side != side[0])
-        for at in range(0, len(left), 64):
-            x = left[at : at + 64]
-            i, j = np.nonzero(comp[x][:, None] != comp[right][None, :])
-            a, b = x[i], right[j]
-            for k in range(0, len(a), 100_000):
-                p, q = a[k : k + 100_000], b[k : k + 100_000]
-                near = np.bitwise_count(bits[p] ^ bits[q]).sum(axis=1) <= most
-                u, v = ids[p[near]], ids[q[near]]
-                if len(u):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v), pa.int64()), pa.array(np.maximum(u, v), pa.int64())], names=["a", "b"])
+        a, b = [], []
+        for i in left:
+            near = right[(label[right] != label[i]) & (right > i if one else True)]
+            near = near[100 * np.minimum(size[near], size[i]) >= percent * np.maximum(size[near], size[i])]
+            near = near[np.bitwise_count(bits[near] ^ bits[i]).sum(axis=1) <= most]
+            near = near[(keys[near] == keys[i]).argmax(axis=1) == band] if len(near) else near
+            while len(near):
+                some, near = near[:64], near[64:]
+                flat = np.concatenate([sets[j] for j in some])
+                at = np.minimum(np.searchsorted(sets[i], flat), size[i] - 1)
+                both = np.add.reduceat((sets[i][at] == flat).astype(np.int64), np.cumsum(size[some]) - size[some])
+                for j in some[100 * both >= percent * (size[some] + size[i] - both)]:
+                    if label[j] != label[i]:
+                        a.append(ids[i]), b.append(ids[j])
+                        label[label == label[j]] = label[i]
+                near = near[label[near] != label[i]]
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, rows = None, []
+        cell, band, rows = None, 0, []
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("cell", "side", "doc_id", "comp", "sketch")]
-            for c, *row in zip(*columns, strict=True):
+            columns = [batch.column(c).to_pylist() for c in ("cell", "band", "side", "doc_id", "comp", "sketch", "bands", "shingles")]
+            for c, k, *row in zip(*columns, strict=True):
                 if c != cell and rows:
-                    yield from pairs(rows)
+                    yield from links(band, rows)
                     rows = []
-                cell = c
+                cell, band = c, k
                 rows.append(row)
         if rows:
-            yield from pairs(rows)
+            yield from links(band, rows)
 
     return run
 
@@ -233,36 +246,39 @@ def near_groups(docs: DataFrame, width: int = 3, percent: int = 85, id_col: str
     `kept` marks every row whose id is its component's. An empty table gives an empty result.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    feats = stored(texts.mapInArrow(_features(width), FEATURES), "features")
+    feats = stored(texts.mapInArrow(_features(width, band_rows(percent)), FEATURES), "features")
     full = feats.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    member = full.select("doc_id", "fp").join(full.groupBy("fp").agg(F.min("doc_id").alias("rid")), "fp").select("doc_id", "rid").distinct()
-    member = stored(member, "members")
-    reps = member.where("doc_id = rid").select("doc_id")
-    lead = full.join(reps, "doc_id", "left_semi")
-    cards = lead.select("doc_id", "sketch")
+    slim = full.select("doc_id", "fp")
+    member = stored(slim.join(slim.groupBy("fp").agg(F.min("doc_id").alias("rid")), "fp").select("doc_id", "rid").distinct(), "members")
+    lead = stored(full.select("doc_id", "n_shingles", "bands", "sketch").join(member.where("doc_id = rid").select("doc_id"), "doc_id", "left_semi"), "leaders")
+    cards = lead.select("doc_id", "sketch", "bands")
 
-    bands = lead.select("doc_id", F.explode("bands").alias("key"))
+    bands = lead.select("doc_id", F.posexplode("bands").alias("band", "key"))
     heads = bands.groupBy("key").agg(F.min("doc_id").alias("head"), F.count("*").alias("size")).where("size > 1")
-    stars = bands.join(heads.select("key", "head"), "key").where("doc_id != head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = stored(_confirmed(stars, cards, texts, width, percent), "links")
+    shared = stored(bands.join(heads, "key"), "buckets")
+    stars = shared.where("doc_id != head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
+    with small_batches(docs.sparkSession, LARGE_ROWS):
+        links = stored(_confirmed(stars, cards, texts, width, percent), "links")
 
     many = member.groupBy("doc_id").agg(F.min("rid").alias("a"), F.max("rid").alias("_m")).where("a < _m")
     same = member.join(many, "doc_id").where("rid != a").select("a", F.col("rid").alias("b"))
-    links_1 = links.unionByName(same)
-    comp = stored(components(links_1), "components")
-
-    labelled = bands.join(heads.where("size > 2").select("key", "size"), "key").join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
-    mixed = labelled.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count("*").alias("_n")).where("_lo < _hi").select("key", "_n")
-    blocks = F.ceil(F.col("_n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("doc_id"), F.col("_p")).cast("int")
+    comp = stored(components(links.unionByName(same)), "components")
+
+    labelled = shared.where("size > 2").select("key", "band", "doc_id").join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+    weighed = labelled.join(lead.select("doc_id", "n_shingles"), "doc_id")
+    mixed = weighed.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count("*").alias("_n"), F.sum("n_shingles").alias("_s")).where("_lo < _hi")
+    blocks = F.greatest(F.ceil(F.col("_n") / BLOCK), F.ceil(F.col("_s") / BLOCK_SHINGLES)).cast("int")
+    held = stored(labelled.join(mixed.select("key", blocks.alias("_p")), "key"), "mixed")
+    sets = _sets_of(held.select("doc_id").distinct(), texts, width)
     cells = (
-        labelled.drop("size").join(mixed, "key").withColumn("_p", blocks).withColumn("side", own)
+        held.withColumn("side", F.pmod(F.xxhash64("doc_id"), F.col("_p")).cast("int"))
         .withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_p") - 1)))
-        .select(F.xxhash64("key", F.least("side", "_o"), F.greatest("side", "_o")).alias("cell"), "side", "doc_id", "comp")
-        .join(cards, "doc_id")
+        .select(F.xxhash64("key", F.least("side", "_o"), F.greatest("side", "_o")).alias("cell"), "band", "side", "doc_id", "comp")
+        .join(cards.join(sets, "doc_id"), "doc_id")
     )
-    cross = cells.repartition("cell").sortWithinPartitions("cell", "side", "doc_id").mapInArrow(_across(most_odd_bits(percent / 100)), "a long, b long").distinct()
-    more = stored(_confirmed(cross, None, texts, width, percent), "links")
+    cross = cells.repartition("cell").sortWithinPartitions("cell", "side", "doc_id").mapInArrow(_across(most_odd_bits(percent / 100), percent), "a long, b long")
+    with small_batches(docs.sparkSession, LARGE_ROWS):
+        more = stored(cross.distinct(), "links")
     if more.isEmpty():
         final = comp
     else:
@@ -280,16 +296,34 @@ def near_groups(docs: DataFrame, width: int = 3, percent: int = 85, id_col: str
     )
 
 
-def _confirmed(pairs: DataFrame, cards: DataFrame | None, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs whose sketches (if given) and then full sets are near enough. Only the texts of documents
-    in a pair are shuffled."""
-    if cards is not None:
-        k = cards.withColumnRenamed("sketch", "ka").withColumnRenamed("doc_id", "a")
-        m = cards.withColumnRenamed("sketch", "kb").withColumnRenamed("doc_id", "b")
-        pairs = pairs.join(m, "b").join(k, "a").mapInArrow(_close_by_sketch(most_odd_bits(percent / 100)), "a long, b long")
-    pairs = stored(pairs.distinct(), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = stored(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, shingles binary"), "sets")
+def _sets_of(wanted: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(doc_id, shingles) of the wanted documents. A bitmap of their hashed ids, FILTER bits whatever their
+    number, spares most other texts the tokenising and the shuffle; a join then lets just the wanted pass."""
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER))
+    marks = wanted.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, int(pmod(xxhash64(doc_id), {FILTER}) % 64))")).alias("v")).toArrow()
+    bitmap = np.zeros(FILTER // 64, np.uint64)
+    bitmap[marks.column("w").to_numpy()] = marks.column("v").to_numpy().view(np.uint64)
+    bitmap = texts.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle = Shingler(width)
+        for batch in batches:
+            at = batch.column(2).to_numpy(zero_copy_only=False)
+            mask = pa.array((bitmap.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)
+            ids, text = batch.column(0).filter(mask), batch.column(1).filter(mask)
+            yield pa.RecordBatch.from_arrays([ids, pa.array([shingle(t.as_py()).tobytes() for t in text], pa.binary())], names=["doc_id", "shingles"])
+
+    found = texts.where("doc_id IS NOT NULL").withColumn("slot", slot).mapInArrow(run, "doc_id long, shingles binary")
+    return stored(found.join(wanted, "doc_id", "left_semi"), "sets")
+
+
+def _confirmed(pairs: DataFrame, cards: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs whose sketches and then full sets are near enough."""
+    k = cards.select(F.col("doc_id").alias("a"), F.col("sketch").alias("ka"))
+    m = cards.select(F.col("doc_id").alias("b"), F.col("sketch").alias("kb"))
+    close = pairs.join(m, "b").join(k, "a").mapInArrow(_close_by_sketch(most_odd_bits(percent / 100)), "a long, b long")
+    pairs = stored(close.distinct(), "pairs")
+    sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), texts, width)
     sa = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     sb = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     return pairs.join(sb, "b").join(sa, "a").mapInArrow(_near(percent), "a long, b long").distinct()
