@@ -22,30 +22,39 @@ BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by"
 # SPDX identifier as words. A rule for the SPDX tag, one for each name and one for a grant in the name's
 # words come of each line.
 _LICENSES = r"""
-mit; mit; mit licen[cs]e|mit x11 licen[cs]e|expat licen[cs]e; mit
-mit-0; mit; mit no attribution( licen[cs]e)?|mit 0; mit 0
+mit; mit licen; mit licen[cs]e; mit
+mit; x11 licen; mit x11 licen[cs]e;
+mit; expat; expat licen[cs]e;
+mit-0; mit no attribution; mit no attribution( licen[cs]e)?; mit 0
+mit-0; mit 0; mit 0;
 apache-1.0; apache; apache( software)? licen[cs]e( version)? 1 0; apache 1 0
 apache-1.1; apache; apache( software)? licen[cs]e( version)? 1 1; apache 1 1
 apache-2.0; apache; apache( software)? licen[cs]e( version)? 2 0|apache 2( 0)? licen[cs]e|apache licen[cs]e v2( 0)?; apache 2 0
-apache; apache; apache( software)? licen[cs]e|asl 2 0;
-gpl-1.0; 1; (gnu )?general public licen[cs]e( as published by the free software foundation)? (version|v) ?1( 0)?|(gnu )?gpl ?v ?1( 0)?; gpl 1 0( only| or later)?
-gpl-2.0; 2; (gnu )?general public licen[cs]e( as published by the free software foundation)? (version|v) ?2( 0)?|(gnu )?gpl ?(version |v)? ?2( 0)?; gpl 2 0( only| or later)?
-gpl-3.0; 3; (gnu )?general public licen[cs]e( as published by the free software foundation)? (version|v) ?3( 0)?|(gnu )?gpl ?(version |v)? ?3( 0)?; gpl 3 0( only| or later)?
-gpl; general public; gnu general public licen[cs]e|gnu public licen[cs]e;
+apache; apache; apache( software)? licen[cs]e;
+apache-2.0; asl 2 0; asl 2 0;
+gpl-1.0; general public; (gnu )?general public licen[cs]e( as published by the free software foundation)? (version|v) ?1( 0)?; gpl 1 0( only| or later)?
+gpl-1.0; gpl; (gnu )?gpl ?(version |v)?1( 0)?;
+gpl-2.0; general public; (gnu )?general public licen[cs]e( as published by the free software foundation)? (version|v) ?2( 0)?; gpl 2 0( only| or later)?
+gpl-2.0; gpl; (gnu )?gpl ?(version |v)?2( 0)?;
+gpl-3.0; general public; (gnu )?general public licen[cs]e( as published by the free software foundation)? (version|v) ?3( 0)?; gpl 3 0( only| or later)?
+gpl-3.0; gpl; (gnu )?gpl ?(version |v)?3( 0)?;
+gpl; general public; gnu general public licen[cs]e;
+gpl; gnu public; gnu public licen[cs]e;
 gpl; gpl; gnu gpl|gpl licen[cs]e;
-lgpl-2.0; library; (gnu )?library general public licen[cs]e( version| v)?( 2( 0)?)?|lgpl ?v?2 0; lgpl 2 0( only| or later)?
-lgpl-2.1; lesser; (gnu )?lesser general public licen[cs]e( version| v) ?2 1; lgpl 2 1( only| or later)?
+lgpl-2.0; library general; (gnu )?library general public licen[cs]e( version| v)?( 2( 0)?)?; lgpl 2 0( only| or later)?
+lgpl-2.0; lgpl; lgpl ?v?2 0;
+lgpl-2.1; lesser general; (gnu )?lesser general public licen[cs]e( version| v) ?2 1; lgpl 2 1( only| or later)?
 lgpl-2.1; lgpl; lgpl ?(version |v)?2 1;
-lgpl-3.0; lesser; (gnu )?lesser general public licen[cs]e( version| v) ?3( 0)?; lgpl 3 0( only| or later)?
+lgpl-3.0; lesser general; (gnu )?lesser general public licen[cs]e( version| v) ?3( 0)?; lgpl 3 0( only| or later)?
 lgpl-3.0; lgpl; lgpl ?(version |v)?3( 0)?;
-lgpl; lesser; (gnu )?lesser general public licen[cs]e;
+lgpl; lesser general; (gnu )?lesser general public licen[cs]e;
 agpl-3.0; affero; (gnu )?affero general public licen[cs]e( version| v) ?3( 0)?; agpl 3 0( only| or later)?
 agpl; affero; (gnu )?affero general public licen[cs]e|affero gpl;
 agpl-3.0; agpl; agpl ?(version |v)?3( 0)?;
-gfdl-1.1; documentation; (gnu )?free documentation licen[cs]e( version| v) ?1 1; gfdl 1 1( only| or later)?
-gfdl-1.2; documentation; (gnu )?free documentation licen[cs]e( version| v) ?1 2; gfdl 1 2( only| or later)?
-gfdl-1.3; documentation; (gnu )?free documentation licen[cs]e( version| v) ?1 3; gfdl 1 3( only| or later)?
-gfdl; documentation; (gnu )?free documentation licen[cs]e;
+gfdl-1.1; free documentation; (gnu )?free documentation licen[cs]e( version| v) ?1 1; gfdl 1 1( only| or later)?
+gfdl-1.2; free documentation; (gnu )?free documentation licen[cs]e( version| v) ?1 2; gfdl 1 2( only| or later)?
+gfdl-1.3; free documentation; (gnu )?free documentation licen[cs]e( version| v) ?1 3; gfdl 1 3( only| or later)?
+gfdl; free documentation; (gnu )?free documentation licen[cs]e;
 bsd-4-clause; bsd; (original|old|4 clause|four clause) bsd licen[cs]e|bsd 4 clause( licen[cs]e)?; bsd 4 clause
 bsd-3-clause; bsd; (new|modified|revised|3 clause|three clause) bsd licen[cs]e|bsd 3 clause( licen[cs]e)?; bsd 3 clause
 bsd-2-clause; bsd; (simplified|freebsd|2 clause|two clause) bsd licen[cs]e|bsd 2 clause( licen[cs]e)?; bsd 2 clause
@@ -54,54 +63,56 @@ bsd-1-clause; bsd; bsd 1 clause( licen[cs]e)?; bsd 1 clause
 bsd; bsd; bsd( style)? licen[cs]e;
 mpl-1.0; mozilla; mozilla public licen[cs]e( version| v) ?1 0; mpl 1 0
 mpl-1.1; mozilla; mozilla public licen[cs]e( version| v) ?1 1; mpl 1 1
-mpl-2.0; mozilla; mozilla public licen[cs]e( version| v) ?2 0; mpl 2 0( no copyleft exception)?
+mpl-2.0; mozilla; mozilla public licen[cs]e( version| v)? ?2 0; mpl 2 0( no copyleft exception)?
 mpl; mozilla; mozilla public licen[cs]e;
 epl-1.0; eclipse; eclipse public licen[cs]e( version| v)? ?1 0; epl 1 0
 epl-2.0; eclipse; eclipse public licen[cs]e( version| v)? ?2 0; epl 2 0
 epl; eclipse; eclipse public licen[cs]e;
 edl-1.0; eclipse; eclipse distribution licen[cs]e( version| v)?( ?1 0)?;
-cddl-1.0; distribution; common development and distribution licen[cs]e( version| v)?( ?1 0)?; cddl 1 0
-cddl-1.1; distribution; common development and distribution licen[cs]e( version| v) ?1 1; cddl 1 1
-cpl-1.0; common; common public licen[cs]e( version| v)?( ?1 0)?; cpl 1 0
+cddl-1.0; development and distribution; common development and distribution licen[cs]e( version| v)?( ?1 0)?; cddl 1 0
+cddl-1.1; development and distribution; common development and distribution licen[cs]e( version| v) ?1 1; cddl 1 1
+cpl-1.0; common public; common public licen[cs]e( version| v)?( ?1 0)?; cpl 1 0
 ipl-1.0; ibm; ibm public licen[cs]e( version| v)?( ?1 0)?; ipl 1 0
-eupl-1.1; european; european union public licen[cs]e( version| v)? ?1 1; eupl 1 1
-eupl-1.2; european; european union public licen[cs]e( version| v)? ?1 2; eupl 1 2
+eupl-1.1; european union; european union public licen[cs]e( version| v)? ?1 1; eupl 1 1
+eupl-1.2; european union; european union public licen[cs]e( version| v)? ?1 2; eupl 1 2
 artistic-1.0; artistic; artistic licen[cs]e( version| v)? ?1 0; artistic 1 0
 artistic-2.0; artistic; artistic licen[cs]e( version| v)? ?2 0; artistic 2 0
 artistic; artistic; (perl |clarified )?artistic licen[cs]e;
-isc; isc; isc licen[cs]e; isc
+isc; isc licen; isc licen[cs]e; isc
 zlib; zlib; zlib( libpng)? licen[cs]e; zlib
 libpng; libpng; libpng licen[cs]e( version 2)?; libpng( 2 0)?
-bsl-1.0; boost; boost software licen[cs]e( version)?( 1 0)?; bsl 1 0
-busl-1.1; business; business source licen[cs]e( version)?( 1 1)?; busl 1 1
+bsl-1.0; boost software; boost software licen[cs]e( version)?( 1 0)?; bsl 1 0
+busl-1.1; business source; business source licen[cs]e( version)?( 1 1)?; busl 1 1
 unlicense; unlicense; (the )?unlicense; unlicense
-wtfpl; public; do what the fuck you want to public licen[cs]e|wtfpl; wtfpl
-psf-2.0; python; python software foundation licen[cs]e( version 2)?|psf licen[cs]e; psf 2 0|python 2 0
+wtfpl; do what the; do what the fuck you want to public licen[cs]e; wtfpl
+wtfpl; wtfpl; wtfpl;
+psf-2.0; python; python software foundation licen[cs]e( version 2)?; psf 2 0|python 2 0
+psf-2.0; psf licen; psf licen[cs]e;
 php-3.01; php; php licen[cs]e( version)?( 3 01)?; php 3 01
 ruby; ruby; ruby licen[cs]e; ruby
 openssl; openssl; openssl licen[cs]e|dual openssl and ssleay licen[cs]e; openssl
-ofl-1.1; font; (sil )?open font licen[cs]e( version)?( 1 1)?; ofl 1 1
-ms-pl; microsoft; microsoft public licen[cs]e( ms pl)?; ms pl
-ms-rl; microsoft; microsoft reciprocal licen[cs]e( ms rl)?; ms rl
+ofl-1.1; open font; (sil )?open font licen[cs]e( version)?( 1 1)?; ofl 1 1
+ms-pl; microsoft public; microsoft public licen[cs]e( ms pl)?; ms pl
+ms-rl; microsoft reciprocal; microsoft reciprocal licen[cs]e( ms rl)?; ms rl
 osl-3.0; open software; open software licen[cs]e( version| v)?( ?3 0)?; osl 3 0
-afl-3.0; academic; academic free licen[cs]e( version| v)?( ?3 0)?; afl 3 0
-ecl-2.0; educational; educational community licen[cs]e( version)?( 2 0)?; ecl 2 0
-upl-1.0; universal; universal permissive licen[cs]e( version| v)?( ?1 0)?; upl 1 0
+afl-3.0; academic free; academic free licen[cs]e( version| v)?( ?3 0)?; afl 3 0
+ecl-2.0; educational community; educational community licen[cs]e( version)?( 2 0)?; ecl 2 0
+upl-1.0; universal permissive; universal permissive licen[cs]e( version| v)?( ?1 0)?; upl 1 0
 ncsa; illinois; university of illinois( ncsa)? open source licen[cs]e; ncsa
 postgresql; postgresql; postgresql licen[cs]e; postgresql
-vim; vim; vim licen[cs]e; vim
+vim; vim licen; vim licen[cs]e; vim
 w3c; w3c; w3c( software( notice)?( and)?)? licen[cs]e; w3c
-x11; x11; x11 licen[cs]e; x11
+x11; x11 licen; x11 licen[cs]e; x11
 sspl-1.0; server side; server side public licen[cs]e( version| v)?( ?1)?; sspl 1 0
-elastic-2.0; elastic; elastic licen[cs]e( version)?( 2 0)?; elastic 2 0
+elastic-2.0; elastic licen; elastic licen[cs]e( version)?( 2 0)?; elastic 2 0
 polyform; polyform; polyform (noncommercial|small business|shield|perimeter)( licen[cs]e)?( 1 0 0)?; polyform (noncommercial|small business) 1 0 0
-odbl-1.0; database; open( data commons open)? database licen[cs]e( version| v)?( ?1 0)?; odbl 1 0
-odc-by-1.0; commons; open data commons attribution licen[cs]e( version| v)?( ?1 0)?; odc by 1 0
-pddl-1.0; dedication; (open data commons )?public domain dedication( and)? licen[cs]e; pddl 1 0
+odbl-1.0; database licen; open( data commons open)? database licen[cs]e( version| v)?( ?1 0)?; odbl 1 0
+odc-by-1.0; data commons; open data commons attribution licen[cs]e( version| v)?( ?1 0)?; odc by 1 0
+pddl-1.0; domain dedication; (open data commons )?public domain dedication( and)? licen[cs]e; pddl 1 0
 cecill-2.1; cecill; cecill( b| c)?( free software)? licen[cs]e( agreement)?( 2 1)?; cecill 2 1
-bigscience-openrail; openrail; (bigscience |creativeml )?open ?rail( m)? licen[cs]e; 
+openrail; rail; (bigscience |creativeml )?open ?rail( m)? licen[cs]e;
 llama; llama; llama (2|3|3 1|3 2)? ?community licen[cs]e( agreement)?;
-nasa-1.3; nasa; nasa open source agreement( 1 3)?( licen[cs]e)?; nasa 1 3
+nasa-1.3; nasa open; nasa open source agreement( 1 3)?( licen[cs]e)?; nasa 1 3
 """
 
 _CC = ("by", "by sa", "by nd", "by nc", "by nc sa", "by nc nd")
@@ -117,14 +128,18 @@ zlib; permission is granted; permission is granted to anyone to use this softwar
 unlicense; released into the public domain; this is free and unencumbered software released into the public domain
 gpl; redistribute it; you can redistribute it and or modify it under the terms of the gnu (lesser |affero )?general public licen[cs]e
 apache; compliance with the licen; you may not use this file except in compliance with the licen[cs]e
-public-domain; public domain; (placed|released|dedicated) (in|into|to) the public domain|public domain dedication
+public-domain; the public domain; (placed|released|dedicated) (in|into|to) the public domain
+public-domain; domain dedication; public domain dedication
 cc0; cc0; cc0( 1 0)?( universal)?
 cc; creative commons; (licensed )?under (a |the )?creative commons( licen[cs]e)?
-no-warranty; warrant; provided as is without warranty of any kind|without any warranty without even the implied warranty of merchantability
+no-warranty; without warranty; provided as is without warranty of any kind
+no-warranty; without any warranty; without any warranty without even the implied warranty of merchantability
 copyright; copyright; copyright( c| ©)? (19|20)\d\d( (19|20)\d\d)*( by)?( [^ ]+){0,3}
 copyright; copyright; copyright( c| ©)? [^ ]+ (19|20)\d\d
 all-rights-reserved; all rights reserved; all rights reserved
-proprietary; licen; (proprietary and confidential|end user licen[cs]e agreement|commercial licen[cs]e|proprietary licen[cs]e)
+proprietary; proprietary; proprietary (and confidential licen[cs]e|licen[cs]e)
+proprietary; end user; end user licen[cs]e agreement
+proprietary; commercial licen; commercial licen[cs]e
 license-file; licen; see (the )?(accompanying )?licen[cs]e( file| txt| md)?( for (more )?(details|information))?
 licensed; licen; (all )?(code|content|text|software|work|data) (is|are) licen[cs]ed
 """
@@ -203,9 +218,8 @@ def scan(values: Column, zero: Column, step: Callable, out: Callable, kind: str,
     return F.when(F.size(values) == 0, none).otherwise(whole)
 
 
-def spans(words: Column, regex: Column) -> Column:
-    """Array of (first, past): the places of a regular expression's matches, in words of the spaced text."""
-    found = F.regexp_extract_all(words, regex, F.lit(0))
+def places(words: Column, regex: Column, found: Column) -> Column:
+    """Array of (first, past): where a regular expression's matches, `found`, are, in words of the spaced text."""
     pieces = F.split(words, regex, -1)
     gaps = F.transform(F.slice(pieces, 1, F.size(found)), lambda p, i: _spaces(p) + F.when(i > 0, _spaces(F.get(found, i - 1))).otherwise(0))
     firsts = scan(gaps, F.lit(0), lambda s, x: s + x, lambda s, x: s + x, "int")
@@ -216,12 +230,13 @@ def detections(words: Column, rules: list[Rule] = RULES) -> Column:
     """Array of (first, past, label, rule), suppressed ones gone, in order of place."""
     table = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(r.priority).alias("priority"), F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.lit(r.regex).alias("regex")) for i, r in enumerate(rules)])
     gated = F.filter(table, lambda r: F.contains(words, r["keyword"]))
+    found = F.filter(F.transform(gated, lambda r: F.struct(r.alias("r"), F.regexp_extract_all(words, r["regex"], F.lit(0)).alias("m"))), lambda x: F.size(x["m"]) > 0)
     hits = F.flatten(
         F.transform(
-            gated,
-            lambda r: F.transform(
-                spans(words, r["regex"]),
-                lambda x: F.struct(x["first"].alias("first"), (-x["past"]).alias("back"), r["priority"].alias("priority"), r["rule"].alias("rule"), r["label"].alias("label")),
+            found,
+            lambda f: F.transform(
+                places(words, f["r"]["regex"], f["m"]),
+                lambda x: F.struct(x["first"].alias("first"), (-x["past"]).alias("back"), f["r"]["priority"].alias("priority"), f["r"]["rule"].alias("rule"), f["r"]["label"].alias("label")),
             ),
         )
     )
@@ -253,14 +268,14 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rooted = F.lit(False)
     for root in ROOTS:
         rooted = rooted | F.contains(words, F.lit(root))
-    places = "array<struct<first:int,past:int,label:string>>"
+    base_kinds = "array<struct<first:int,past:int,label:string>>"
     every = F.array(*[F.struct(F.lit(rf"(?<![^ ]){p}(?![^ ])").alias("regex"), F.lit(x).alias("label"), F.lit(p).alias("phrase")) for p, x in BASE.items()])
-    base_hits = F.flatten(F.transform(F.filter(every, lambda r: F.contains(words, r["phrase"])), lambda r: F.transform(spans(words, r["regex"]), lambda x: F.struct(x["first"].alias("first"), x["past"].alias("past"), r["label"].alias("label")))))
+    base_hits = F.flatten(F.transform(F.filter(every, lambda r: F.contains(words, r["phrase"])), lambda r: F.transform(places(words, r["regex"], F.regexp_extract_all(words, r["regex"], F.lit(0))), lambda x: F.struct(x["first"].alias("first"), x["past"].alias("past"), r["label"].alias("label")))))
     all_kinds = "array<struct<first:int,past:int,label:string,priority:int,keep:boolean>>"
     rows = rows.select(
         "doc_id",
         F.when(words == "", 0).otherwise(_spaces(words) + 1).cast("long").alias("n_words"),
-        F.when(base, base_hits).otherwise(F.array().cast(places)).alias("_base"),
+        F.when(base, base_hits).otherwise(F.array().cast(base_kinds)).alias("_base"),
         F.when(rooted, detections(words)).otherwise(F.array().cast(all_kinds)).alias("found"),
     )
     labels = lambda c: F.array_sort(F.array_distinct(F.transform(c, lambda x: x["label"])))

@@ -51,7 +51,7 @@ def test_there_are_hundreds_of_distinct_rules():
         re.compile(r.regex)
 
 
-@pytest.mark.parametrize("rule", range(0, len(ls.RULES), 7))
+@pytest.mark.parametrize("rule", range(len(ls.RULES)))
 def test_every_match_holds_a_root_and_its_keyword(rule):
     """The prefilter loses nothing: strings made from a rule's expression hold its keyword and a root."""
     from re import _parser
@@ -76,4 +76,4 @@ def test_every_match_holds_a_root_and_its_keyword(rule):
     inner = re.sub(r"^\(\?<!\[\^ \]\)|\(\?!\[\^ \]\)$", "", r.regex)
     for high in (False, True):
         text = one(_parser.parse(inner), high)
-        assert any(root in text for root in ls.ROOTS), (r, text)
+        assert r.keyword in text and any(root in text for root in ls.ROOTS), (r, text)
