@@ -320,10 +320,10 @@ def score_texts(model):
 
 def learn(docs: DataFrame, labels: DataFrame) -> dict | None:
     """A model from a bounded sample of the learning fold; None unless both labels occur in it."""
-    y = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    text = docs.where(F.col("text").isNotNull() & ~held_out()).where(F.length("text") <= LONGEST).select("doc_id", "text")
-    known = text.join(y, "doc_id")
-    parts = [sample_by(known.where(F.col("toxic") == k), "toxic", n).limit(n + n // 2) for k, n in SAMPLE.items()]
+    y = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    text = docs.where(F.col("text").isNotNull()).where(F.length("text") <= LONGEST).select("doc_id", "text")
+    # twice the rows wanted, as some have no text or a long one; few enough to be sent to the texts
+    parts = [text.join(F.broadcast(sample_by(y.where(F.col("toxic") == k), "toxic", 2 * n).limit(3 * n)), "doc_id").orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id", "text").limit(n) for k, n in SAMPLE.items()]
     found = parts[0].unionByName(parts[1]).toPandas().drop_duplicates().sort_values(["doc_id", "text"])
     if found["toxic"].nunique() < 2:
         return None
