@@ -13,7 +13,6 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query(spark, name):
     got = queries.QUERIES[name](spark, SF).toPandas()
-    assert len(got)
     if name not in queries.ORACLES:
         return
     con = duckdb.connect()
