@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -206,29 +207,36 @@ def main_text(pages: list[list[tuple[int, str]]], run: int = RUN) -> list[str]:
     return out
 
 
+def packed(blocks: list[tuple[int, str]]) -> bytes:
+    """Blocks other than chrome, compressed for the shuffle: a line each, the mark first."""
+    return zstandard.compress("\n".join(f"{m}{t}" for m, t in blocks if m != CHROME).encode("utf-8", "surrogatepass"))
+
+
+def unpacked(data: bytes) -> list[tuple[int, str]]:
+    lines = zstandard.decompress(data).decode("utf-8", "surrogatepass").split("\n")
+    return [(int(x[0]), x[1:]) for x in lines if x]
+
+
 def _cut_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [blocks_of(x.as_py()) for x in batch.column("html")]
         keep = [c for c in batch.schema.names if c != "html"]
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in keep), pa.array([[m for m, _ in x] for x in found], pa.list_(pa.int8())), pa.array([[t for _, t in x] for x in found], pa.list_(pa.string()))],
-            names=[*keep, "marks", "texts"],
-        )
+        blocks = [packed(blocks_of(x.as_py())) for x in batch.column("html")]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(blocks, pa.binary())], names=[*keep, "blocks"])
 
 
 def _by_host(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def done(rows: list) -> pa.RecordBatch:
-        texts = main_text([r[2] for r in rows])
+        texts = main_text([unpacked(r[2]) for r in rows])
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     group, rows = None, []
     for batch in batches:
-        for page_id, url, host, part, marks, texts in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "host", "part", "marks", "texts")), strict=True):
+        for page_id, url, host, part, blocks in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "host", "part", "blocks")), strict=True):
             if (host, part) != group and rows:
                 yield done(rows)
                 rows = []
             group = host, part
-            rows.append((page_id, url, list(zip(marks, texts, strict=True))))
+            rows.append((page_id, url, blocks))
     if rows:
         yield done(rows)
 
@@ -244,8 +252,8 @@ def extract(pages: DataFrame, group_bytes: int = GROUP) -> DataFrame:
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("host", host)
     large = rows.groupBy("host").agg(F.sum(F.length("html")).alias("_b")).where(F.col("_b") > group_bytes).select("host", F.ceil(F.col("_b") / group_bytes).alias("_g"))
-    cut = rows.mapInArrow(_cut_pages, "page_id long, url string, host string, marks array<tinyint>, texts array<string>")
+    cut = rows.mapInArrow(_cut_pages, "page_id long, url string, host string, blocks binary")
     dealt = cut.join(large, "host", "left").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("_g", F.lit(1))))
     grouped = dealt.repartition("host", "part").sortWithinPartitions("host", "part", "page_id", "url")
-    out = grouped.select("page_id", "url", "host", "part", "marks", "texts").mapInArrow(_by_host, "page_id long, url string, text string")
+    out = grouped.select("page_id", "url", "host", "part", "blocks").mapInArrow(_by_host, "page_id long, url string, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))
