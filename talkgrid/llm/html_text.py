@@ -28,6 +28,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from talkgrid.llm.common import stored
+
 CHROME, LOOSE, ARTICLE = 0, 1, 2
 RUN, GROUP, MOSTLY = 8, 8 << 20, 0.8
 COMMON, LEAST = 0.6, 5
@@ -252,6 +254,7 @@ def extract(pages: DataFrame, group_bytes: int = GROUP) -> DataFrame:
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("host", host)
     large = rows.groupBy("host").agg(F.sum(F.length("html")).alias("_b")).where(F.col("_b") > group_bytes).select("host", F.ceil(F.col("_b") / group_bytes).alias("_g"))
+    large = stored(large, "hosts")  # of known size, so that pages needn't be shuffled to meet a few rows
     cut = rows.mapInArrow(_cut_pages, "page_id long, url string, host string, blocks binary")
     dealt = cut.join(large, "host", "left").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("_g", F.lit(1))))
     grouped = dealt.repartition("host", "part").sortWithinPartitions("host", "part", "page_id", "url")
