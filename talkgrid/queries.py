@@ -464,4 +464,4 @@ def fuzzy_vote(spark, sf_dir):
 
 @register()
 def token_diff(spark, sf_dir):
-    return _paired(spark, sf_dir).select("doc_id", fuzzy.token_diff(F.col("caption_text"), F.substring("text", 1, 300)).alias("d")).select("doc_id", "d.left", "d.right")
+    return _paired(spark, sf_dir).select("doc_id", fuzzy.token_diff(F.col("caption_text"), F.col("text")).alias("d")).select("doc_id", "d.left", "d.right")
