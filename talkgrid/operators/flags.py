@@ -60,9 +60,14 @@ def find_misheard(df: DataFrame, text: str, index: DataFrame, out: str, id_cols:
         hit = F.transform(F.array(norm), lambda n: F.get(F.filter(table, lambda m: F.contains(n, m["norm"])), F.lit(0))["canonical"])
         return df.withColumn(out, F.get(hit, F.lit(0)))
     entries = index.withColumn("norm", normalize_text(F.col("heard")))
-    texts = df.select(*id_cols, normalize_text(F.coalesce(F.col(text), F.lit(""))).alias("_n"))
-    hits = texts.join(entries, F.contains(F.col("_n"), F.col("norm"))).groupBy(*id_cols).agg(F.min(F.struct("pos", "canonical"))["canonical"].alias(out))
-    return df.join(hits, id_cols, "left")
+    # ids may be null or repeated: rows meet their answers by id and text
+    keyed = df.withColumn("_text", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    keys = [*id_cols, "_text"]
+    texts = keyed.select(*keys, normalize_text(F.coalesce(F.col(text), F.lit(""))).alias("_n"))
+    hits = texts.join(entries, F.contains(F.col("_n"), F.col("norm"))).groupBy(*keys).agg(F.min(F.struct("pos", "canonical"))["canonical"].alias(out))
+    hits = hits.select(out, *[F.col(c).alias(f"_hit{i}") for i, c in enumerate(keys)])
+    met = [F.col(c).eqNullSafe(F.col(f"_hit{i}")) for i, c in enumerate(keys)]
+    return keyed.join(hits, met, "left").drop("_text", *[f"_hit{i}" for i in range(len(keys))])
 
 
 def flag_segments(segments: DataFrame, index: DataFrame | None, with_captions: bool, t: Thresholds = Thresholds(), keep_all: bool = False) -> DataFrame:

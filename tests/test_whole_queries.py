@@ -3,6 +3,8 @@
 from difflib import SequenceMatcher
 from html import escape
 
+import pytest
+
 from talkgrid import queries
 
 
@@ -25,3 +27,21 @@ def test_token_diff_reads_whole_texts(spark, tmp_path):
     got = {r.doc_id: (r.left, r.right) for r in queries.token_diff(spark, write(spark, tmp_path, docs, items)).collect()}
     assert got == {i: plain_diff(items[i][1], text) for i, text in docs}
     assert min(len(text) for _, text in docs) > 300
+
+
+def plain_suggestion(text, items):
+    heard = {}
+    for i, t in items:
+        heard.setdefault(" ".join(t.split()[:2]), []).append(f"item {i}")
+    return next((names[-1] for h, names in heard.items() if h in (text or "")), None)
+
+
+@pytest.mark.parametrize("n", [75, 2100])  # as a literal, and as a join
+def test_misheard_dictionary_has_every_item(spark, tmp_path, n):
+    items = [(i, f"head{i % (n - 5)} tail rest of item {i}") for i in range(n)]
+    docs = [(0, "says head3 tail"), (1, f"head{n - 6} tail and head50 tail"), (2, "nothing"), (None, "head60 tail"), (None, "head41 tail"), (None, None), (3, "head70 tail"), (3, "head44 tail")]
+    folder = write(spark, tmp_path, docs, items)
+    key = lambda rows: sorted(tuple(map(str, r)) for r in rows)
+    assert key(queries.misheard_lookup(spark, folder).collect()) == key((i, plain_suggestion(t, items)) for i, t in docs)
+    index = {r.heard: r.canonical for r in queries.misheard_index(spark, folder).collect()}
+    assert index == {h: plain_suggestion(h, [x for x in items if x[1].startswith(f"{h} ")]) for h in {" ".join(t.split()[:2]) for _, t in items}}
