@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from talkgrid.functions import fuzzy, geometry, text
 from talkgrid.operators import flags, glossary, intervals, ranking, spans, votes
@@ -161,8 +162,12 @@ PAIRED = "SELECT d.doc_id, d.text, b.text AS caption FROM documents d JOIN bench
 
 
 def _paired(spark, sf_dir):
-    b = _table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("caption_text"))
-    return _table(spark, sf_dir, "documents").withColumn("item_id", F.col("doc_id") % 40).join(b, "item_id")
+    """Every document with the benchmark item whose place by id is the document's id modulo their number; a
+    document without an id, and any if there are no items, with null."""
+    b = _table(spark, sf_dir, "benchmark")
+    place = F.row_number().over(Window.orderBy("item_id", "text")) - 1
+    b = b.select(place.cast("long").alias("_place"), F.col("text").alias("caption_text"))
+    return _table(spark, sf_dir, "documents").withColumn("_place", F.expr(f"pmod(doc_id, {max(b.count(), 1)}L)")).join(b, "_place", "left")
 
 
 CONTAINED = "CASE WHEN len(list_distinct(a)) = 0 THEN 1.0 ELSE CAST(len(list_intersect(list_distinct(a), b)) AS DOUBLE) / len(list_distinct(a)) END"
@@ -204,7 +209,7 @@ r AS (SELECT doc_id, suggestion, list_filter([CASE WHEN d THEN 'divergence' END,
 
 def _flagged(spark, sf_dir):
     word = F.struct(F.lit("w").alias("w"), F.lit(0.0).alias("start"), F.lit(1.0).alias("end"), F.lit(0.3).alias("p"))
-    words = F.slice(F.array(word, word, word), 1, (F.col("doc_id") % 4).cast("int"))
+    words = F.slice(F.array(word, word, word), 1, F.pmod(F.col("doc_id"), F.lit(4)).cast("int"))
     s = _paired(spark, sf_dir).select(F.lit(0).alias("recording_id"), F.col("doc_id").alias("seg_idx"), "text", "caption_text", ((F.col("doc_id") % 10) / -10.0).alias("avg_logprob"), words.alias("words"))
     return flags.flag_segments(s, flags.misheard_index(_dictionary(spark, sf_dir)), True)
 

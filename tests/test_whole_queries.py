@@ -45,3 +45,22 @@ def test_misheard_dictionary_has_every_item(spark, tmp_path, n):
     assert key(queries.misheard_lookup(spark, folder).collect()) == key((i, plain_suggestion(t, items)) for i, t in docs)
     index = {r.heard: r.canonical for r in queries.misheard_index(spark, folder).collect()}
     assert index == {h: plain_suggestion(h, [x for x in items if x[1].startswith(f"{h} ")]) for h in {" ".join(t.split()[:2]) for _, t in items}}
+
+
+def test_every_item_and_every_document_is_paired(spark, tmp_path):
+    items = [(3 * i + 7, f"item{i} common words") for i in range(90)]  # 0 to 39 are not all there
+    docs = [(i, f"text with item{i % 90} and common") for i in range(180)] + [(None, "item1 <common>"), (-1, "item89")]
+    folder = write(spark, tmp_path, docs, items)
+    caption = lambda i: None if i is None else items[i % 90][1]
+    share = lambda i, t: None if i is None else len(set(caption(i).split()) & set(t.split())) / 3
+    key = lambda rows: sorted(tuple(map(str, r)) for r in rows)
+    assert key(queries.token_containment(spark, folder).collect()) == key((i, share(i, t)) for i, t in docs)
+    assert key(queries.token_diff(spark, folder).collect()) == key((i, *plain_diff(caption(i) or "", t)) for i, t in docs)
+    # normalised, only the text without an id holds an item's first two words: the others' suggestions come from captions
+    flagged = {r.seg_idx: r.suggestion for r in queries.segment_flags(spark, folder).collect()}
+    assert {i: s for i, s in flagged.items() if i is not None} == {i: f"item {items[i % 90][0]}" for i, _ in docs if i is not None}
+    n = {r.reason: r.n for r in queries.reason_histogram(spark, folder).collect()}
+    assert flagged[None] == f"item {items[1][0]}"
+    assert n["misheard_match"] == 182
+    # here it is the text's tokens that are looked for in the caption
+    assert n["divergence"] == sum(len(set(t.split()) & set(caption(i).split())) / len(set(t.split())) < 0.5 for i, t in docs if i is not None)
