@@ -3,10 +3,12 @@
 A page is cut into blocks of visible text, each marked by the structure around it: `CHROME` (menus,
 headers, footers, sidebars, notices, adverts, forms, reader comments, hidden parts), `ARTICLE` (inside
 article or main) or `LOOSE` (neither). The token streams of a host's pages are laid end to end, and a
-suffix array over them finds the runs of `RUN` tokens or more that distinct pages share. Then
+suffix array over them finds the runs of `RUN` tokens or more that distinct pages share; pages with equal
+streams are one. Then
 
 * chrome goes, and is no part of the streams;
-* a loose block goes if shared runs cover most of it, and its uncovered rest stays otherwise;
+* a loose block goes if shared runs cover most of it, and its uncovered rest stays otherwise. On a page that
+  they cover for the most part, a copy, only runs on most pages count, and none if they do the same;
 * where the structure names an article, loose blocks go as well. In an article, runs go only if they stand
   on most pages of the group (`COMMON`, and `LEAST` pages) and most of the article is something else:
   text that some pages merely quote from each other, or copies of a page, are no boilerplate.
@@ -145,6 +147,11 @@ def blocks_of(page: str | None) -> list[tuple[int, str]]:
     return found
 
 
+def stream_of(page: list[tuple[int, str]]) -> list[str]:
+    """The page's tokens in order, chrome left out."""
+    return [w for m, text in page if m != CHROME for w in text.split()]
+
+
 def suffix_order(tokens: np.ndarray, run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
     """The suffix array of a token stream, sorted by the first `depth` >= run tokens, and for each entry
     whether it shares `run` tokens with the entry before it. Prefix doubling."""
@@ -165,23 +172,29 @@ def suffix_order(tokens: np.ndarray, run: int = RUN) -> tuple[np.ndarray, np.nda
 
 def shared_runs(pages: list[list[tuple[int, str]]], run: int = RUN) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """For each page, for each token of its stream (chrome left out): is it covered by a run that another
-    page shares, and by one that most pages share."""
+    page shares, and by one that most pages share. Pages with the same stream count as one page."""
     number: dict[str, int] = {}
-    streams = [[number.setdefault(w, len(number)) for m, text in page if m != CHROME for w in text.split()] for page in pages]
+    known: dict[tuple[int, ...], int] = {}
+    which = [known.setdefault(tuple(number.setdefault(w, len(number)) for w in stream_of(page)), len(known)) for page in pages]
+    streams = list(known)
     size = np.array([len(t) + 1 for t in streams])
     tokens = np.concatenate([[*t, -1 - i] for i, t in enumerate(streams)]).astype(np.int64)  # each end is a token of its own
     order, same = suffix_order(tokens, run)
     group = np.cumsum(~same) - 1
-    owner = np.repeat(np.arange(len(pages)), size)[order]
-    seen = np.unique(group * len(pages) + owner) // len(pages)
+    owner = np.repeat(np.arange(len(streams)), size)[order]
+    seen = np.unique(group * len(streams) + owner) // len(streams)
     n_pages = np.bincount(seen)[group]
     covers = []
-    for hit in (n_pages > 1, n_pages >= max(LEAST, COMMON * len(pages))):
+    for hit in (n_pages > 1, n_pages >= max(LEAST, COMMON * len(streams))):
         edge = np.zeros(len(tokens) + run + 1, np.int64)
         np.add.at(edge, order[hit], 1)
         np.add.at(edge, order[hit] + run, -1)
         covers.append(np.split(np.cumsum(edge)[: len(tokens)] > 0, np.cumsum(size)[:-1]))
-    return covers[0], covers[1]
+    return [covers[0][k] for k in which], [covers[1][k] for k in which]
+
+
+def _mostly(cover: np.ndarray) -> bool:
+    return len(cover) > 1 and cover[:-1].mean() >= MOSTLY
 
 
 def main_text(pages: list[list[tuple[int, str]]], run: int = RUN) -> list[str]:
@@ -193,8 +206,8 @@ def main_text(pages: list[list[tuple[int, str]]], run: int = RUN) -> list[str]:
         has_article = any(m == ARTICLE for m, _ in page)
         cover = None
         if len(pages) > 1:
-            cover = common[i] if has_article else shared[i]
-            cover = None if not cover.any() or has_article and cover[:-1].mean() > 0.5 else cover
+            cover = common[i] if has_article or _mostly(shared[i]) else shared[i]
+            cover = None if not cover.any() or (cover[:-1].mean() > 0.5 if has_article else _mostly(cover)) else cover
         kept, at = [], 0
         for m, text in page:
             if m == CHROME:

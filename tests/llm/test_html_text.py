@@ -70,6 +70,15 @@ def test_boilerplate_of_a_host_goes_and_quotes_stay():
     assert all(quote in t for t in h.main_text(copies))
 
 
+def test_copies_of_pages_without_article_keep_their_text():
+    page = "<div><p>a story without any article mark that is told in one place only</p><p>and its second part is as long as that</p></div>"
+    whole = text_of(page)
+    assert h.main_text([h.blocks_of(page)] * 3) == [whole] * 3
+    other = h.blocks_of("<p>some other page of the host with words that no other page has</p>")
+    near = page.replace("</div>", "<p>changed</p></div>")
+    assert h.main_text([h.blocks_of(page), h.blocks_of(page), other, h.blocks_of(near)]) == [whole, whole, other[0][1], f"{whole}\nchanged"]
+
+
 def test_extract_over_tables(spark):
     rows = [(i, f"http://Host.example/{i}", PAGE.format(f"Title {i}", " more" * i)) for i in range(8)] + [(1, None, "<p>x</p>"), (None, "nonsense", None), (3, "http://Host.example/3", PAGE.format("Title 3", " more" * 3))]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"host": F.lit("h"), "part": F.lit(0), "text": F.lit("t")})
