@@ -13,13 +13,15 @@ streams are one. Then
   on most pages of the group (`COMMON`, and `LEAST` pages) and most of the article is something else:
   text that some pages merely quote from each other, or copies of a page, are no boilerplate.
 
-Large hosts are split into groups of about `GROUP` bytes by a hash of the page, so no task holds a whole
-host; what is boilerplate shows in every group. A suffix array need not be sorted beyond RUN tokens for
-this: deeper order does not change which runs of RUN tokens repeat.
+A suffix array need not be sorted beyond RUN tokens for this: deeper order does not change which runs of
+RUN tokens repeat. Large hosts are split into groups of about `GROUP` bytes by a hash of the page, so no
+task holds a whole host. Their runs are counted over all distinct streams of the host, by 64-bit hashes of
+RUN tokens, and each group is handed the counts of its own runs: the texts are those of an unsplit host.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -197,15 +199,47 @@ def _mostly(cover: np.ndarray) -> bool:
     return len(cover) > 1 and cover[:-1].mean() >= MOSTLY
 
 
-def main_text(pages: list[list[tuple[int, str]]], run: int = RUN) -> list[str]:
-    """The main texts of pages of one host."""
-    if len(pages) > 1:
-        shared, common = shared_runs(pages, run)
+def hashed(page: list[tuple[int, str]], known: dict[str, int], run: int = RUN) -> tuple[int, np.ndarray]:
+    """A hash of the page's stream, and of each of its runs of `run` tokens, in order, both signed 64-bit.
+    `known` keeps the hashes of tokens."""
+    stream = stream_of(page)
+    of = lambda text: int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+    for w in stream:
+        if w not in known:
+            known[w] = of(w)
+    tokens = np.array([known[w] for w in stream], np.uint64)
+    n = max(0, len(stream) - run + 1)
+    runs = np.zeros(n, np.uint64)
+    for k in range(run if n else 0):
+        runs = runs * np.uint64(0x9E3779B97F4A7C15) + tokens[k : k + n]
+    return int(np.int64(np.uint64(of(" ".join(stream))))), runs.astype(np.int64)
+
+
+def counted_runs(pages: list[list[tuple[int, str]]], counts: dict[int, int], n_streams: int, run: int = RUN) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """shared_runs by counts over the whole host: those of runs on several of its n_streams distinct streams."""
+    known: dict[str, int] = {}
+    covers: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
+    for page in pages:
+        runs = hashed(page, known, run)[1]
+        n = np.array([counts.get(int(x), 1) for x in runs], np.int64)
+        size = len(stream_of(page)) + 1
+        for cover, hit in zip(covers, (n > 1, n >= max(LEAST, COMMON * n_streams)), strict=True):
+            edge = np.zeros(size + run + 1, np.int64)
+            edge[: len(hit)] += hit
+            edge[run : run + len(hit)] -= hit
+            cover.append(np.cumsum(edge)[:size] > 0)
+    return covers
+
+
+def main_text(pages: list[list[tuple[int, str]]], run: int = RUN, host: tuple[dict[int, int], int] | None = None) -> list[str]:
+    """The main texts of pages of one host; `host`, of a part of a host's pages: counts of its runs, distinct streams."""
+    if len(pages) > 1 or host:
+        shared, common = counted_runs(pages, *host, run) if host else shared_runs(pages, run)
     out = []
     for i, page in enumerate(pages):
         has_article = any(m == ARTICLE for m, _ in page)
         cover = None
-        if len(pages) > 1:
+        if len(pages) > 1 or host:
             cover = common[i] if has_article or _mostly(shared[i]) else shared[i]
             cover = None if not cover.any() or (cover[:-1].mean() > 0.5 if has_article else _mostly(cover)) else cover
         kept, at = [], 0
@@ -239,21 +273,46 @@ def _cut_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(blocks, pa.binary())], names=[*keep, "blocks"])
 
 
+def _cut_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        known: dict[str, int] = {}
+        for at in range(0, len(batch), 100):
+            part = batch.slice(at, 100)
+            found = [hashed(blocks_of(x.as_py()), known) for x in part.column("html")]
+            runs = pa.array([np.unique(r) for _, r in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column("host"), part.column("part"), pa.array([x for x, _ in found], pa.int64()), runs], names=["host", "part", "stream", "runs"])
+
+
 def _by_host(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def done(rows: list) -> pa.RecordBatch:
-        texts = main_text([unpacked(r[2]) for r in rows])
+    def done(rows: list, host: tuple[dict[int, int], int] | None) -> pa.RecordBatch:
+        texts = main_text([unpacked(r[2]) for r in rows], host=host)
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    group, rows = None, []
+    group, rows, counts, n_streams = None, [], {}, 0
     for batch in batches:
-        for page_id, url, host, part, blocks in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "host", "part", "blocks")), strict=True):
-            if (host, part) != group and rows:
-                yield done(rows)
-                rows = []
-            group = host, part
-            rows.append((page_id, url, blocks))
+        for page_id, url, host, part, blocks, run, n in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "host", "part", "blocks", "run", "n")), strict=True):
+            if (host, part) != group:
+                if rows:
+                    yield done(rows, (counts, n_streams) if n_streams else None)
+                group, rows, counts, n_streams = (host, part), [], {}, 0
+            if blocks is not None:
+                rows.append((page_id, url, blocks))
+            elif run is None:
+                n_streams = n
+            else:
+                counts[run] = n
     if rows:
-        yield done(rows)
+        yield done(rows, (counts, n_streams) if n_streams else None)
+
+
+def _run_counts(rows: DataFrame) -> DataFrame:
+    """(host, part, run, n) of rows (host, part, html): how many distinct streams of the host hold a run that
+    several do, for each part whose pages hold it; with run null, how many there are."""
+    cut = rows.select("host", "part", "html").mapInArrow(_cut_runs, "host string, part long, stream long, runs array<long>")
+    streams = cut.groupBy("host", "stream").agg(F.first("runs").alias("runs"), F.collect_set("part").alias("parts"))
+    each = streams.select("host", "parts", F.explode(F.concat("runs", F.array(F.lit(None).cast("long")))).alias("run"))
+    found = each.groupBy("host", "run").agg(F.count("*").alias("n"), F.array_distinct(F.flatten(F.collect_set("parts"))).alias("parts"))
+    return found.where("n > 1 OR run IS NULL").select("host", F.explode("parts").alias("part"), "run", "n")
 
 
 def extract(pages: DataFrame, group_bytes: int = GROUP) -> DataFrame:
@@ -268,8 +327,10 @@ def extract(pages: DataFrame, group_bytes: int = GROUP) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("host", host)
     large = rows.groupBy("host").agg(F.sum(F.length("html")).alias("_b")).where(F.col("_b") > group_bytes).select("host", F.ceil(F.col("_b") / group_bytes).alias("_g"))
     large = stored(large, "hosts")  # of known size, so that pages needn't be shuffled to meet a few rows
+    part = F.pmod(F.xxhash64("page_id", "url"), F.coalesce("_g", F.lit(1)))
+    counts = _run_counts(rows.join(large, "host").withColumn("part", part))
     cut = rows.mapInArrow(_cut_pages, "page_id long, url string, host string, blocks binary")
-    dealt = cut.join(large, "host", "left").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("_g", F.lit(1))))
-    grouped = dealt.repartition("host", "part").sortWithinPartitions("host", "part", "page_id", "url")
-    out = grouped.select("page_id", "url", "host", "part", "blocks").mapInArrow(_by_host, "page_id long, url string, text string")
+    dealt = cut.join(large, "host", "left").withColumn("part", part).drop("_g").unionByName(counts, allowMissingColumns=True)
+    grouped = dealt.repartition("host", "part").sortWithinPartitions("host", "part", F.col("blocks").isNotNull(), "page_id", "url")
+    out = grouped.select("page_id", "url", "host", "part", "blocks", "run", "n").mapInArrow(_by_host, "page_id long, url string, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))

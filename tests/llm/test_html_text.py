@@ -87,3 +87,16 @@ def test_extract_over_tables(spark):
         want = sorted(((i is None, i or 0), u or "", t := text_of(p), len(t)) for i, u, p in rows)
         assert got == want
     assert h.extract(df.limit(0)).count() == 0
+
+
+def test_a_split_host_gives_the_texts_of_a_whole_one(spark):
+    rng = np.random.default_rng(5)
+    words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    quotes, legal = [words(12) for _ in range(20)], words(10)  # each quote on two pages
+    pages = [f"<p>{words(40)}</p><p>{quotes[i % 20]}</p><p>{legal}</p>" for i in range(40)]
+    pages += [f"<article><p>{words(30)}</p><p>{legal}</p></article>" for _ in range(60)] + [pages[0], pages[3]]
+    df = spark.createDataFrame([(i, f"http://h.example/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    whole, split = ({r.page_id: r.text for r in h.extract(df, size).collect()} for size in (h.GROUP, 2000))
+    assert split == whole == dict(enumerate(h.main_text([h.blocks_of(p) for p in pages])))
+    assert not any(q in t for q in quotes for t in whole.values())
+    assert not any(legal in t for t in whole.values())
