@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from talkgrid.llm.common import ship, stored, table
-from talkgrid.llm.decontaminate import contamination
+from talkgrid.llm.decontaminate import clean
 from talkgrid.llm.language_id import keep_known
 from talkgrid.llm.mixing import mixture
 from talkgrid.llm.near_dedup import near_groups
@@ -40,9 +40,8 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go. Rows that share an id go together."""
-    hit = contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(docs.columns)
+    """Documents that hold a window of a benchmark item go, each row by its own text, with or without an id."""
+    return clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,6 +19,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -187,6 +188,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, block:
     text, repeated rows stay repeated, repeated items count once. Other columns are ignored. With an empty
     benchmark nothing is hit; empty documents give no rows.
     """
+    return _judged(docs, benchmark, size, block).drop("doc_key")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of `docs` that contamination() does not mark, each by its own id and text."""
+
+    @F.pandas_udf("long")
+    def key(text: pd.Series) -> pd.Series:
+        return pd.Series([text_key(t) for t in text], dtype="int64")
+
+    hit = _judged(docs, benchmark, 10, 50_000).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("doc_key").alias("_hit")).distinct()
+    keyed = docs.withColumn("_key", key(F.col("text").cast("string")))
+    return keyed.join(hit, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_hit")), "left_anti").select(docs.columns)
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, size: int, block: int) -> DataFrame:
+    """contamination() with doc_key, the key of the row's text."""
     texts, found, rows = _texts(docs), None, None
     for part in _items(benchmark, size, block):
         index = Index(texts, part, size)
@@ -203,6 +221,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, block:
         on = F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.doc_key") == F.col("r.doc_key"))
         rows = rows.alias("l").join(side.alias("r"), on, "left").select("l.*", F.col(f"r.{side.columns[-1]}"))
     return rows.select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
+        "doc_id", "doc_key", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")).cast("binary"), 256).alias("items_sha256"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"),
     )
