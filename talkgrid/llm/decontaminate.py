@@ -1,226 +1,334 @@
 """Benchmark decontamination over a positional inverted index.
 
-1. Test items are cut into windows of `size` words. They are worked through in blocks of at most about
-   `block` windows, so what a task holds of them is bounded whatever the benchmark's size.
-2. One pass over the training texts counts the block's terms (every document, whole texts).
-3. Each window is anchored at its two rarest terms. A second pass stores the postings of anchor terms:
-   (term, document, position, the `size` - 1 words on either side), as a table in the shared folder.
-4. Offset-adjusted lists are intersected by joins: a posting less its anchor's offset is the place where
-   the item would start. Where rarest and second-rarest agree on that place, the stored words around the
-   posting are held against the item's: the longest common run that holds the anchor is an exact match
-   if it spans a window. Anchors that lie within `slop` words of their offsets are proximity matches.
-
-A window that occurs has all its words, so its anchors' lists meet: no occurrence is lost.
+1. One pass over the training texts cuts them into segments of about `SEGMENT` bytes and stores, for each
+   segment, the postings of every token: sorted term hashes, and for each term its sorted places in the
+   segment. The index is dealt by documents, so no term is hot, and nothing is shuffled to build it.
+2. Test items are cut into windows of `size` words. Distinct windows are searched in blocks of at most about
+   `block`, each a pass over the index, not over the texts: what a task holds is bounded whatever the
+   benchmark's size. The same benchmark may be searched in any number of blocks with the same result.
+3. In a segment, a window whose terms aren't all there is dropped. For the rest, the list of the rarest term
+   is shifted by its offset and intersected with the shifted lists of the others, rarest first. Places that
+   are left in every list, inside one document, are exact phrase matches.
+4. Proximity matches: places where every word of the window stands within `slop` words of where it should.
+
+Terms are known by 64-bit hashes of their bytes.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from talkgrid.llm.common import stored
+from talkgrid.llm.common import small_batches, stored, tidy, without
+
+SEGMENT, BLOCK, SLOP = 4 << 20, 200_000, 3
+#: Most candidate places that are intersected at once.
+AT_ONCE = 2_000_000
+#: Segments that are handed to Python at once.
+FEW = 2
 
 #: Bytes to words: A-Z to a-z, other ASCII but digits and letters to a space.
 _FLAT = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
+_SEGMENT_ROW = "seg long, doc_ids array<long>, doc_keys array<long>, begins array<int>, terms binary, starts binary, places binary"
+_ABSENT = np.int64(1) << 40
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_FLAT).split()
 
 
-def text_key(text: str | None) -> int:
-    """With the id this names a row, so that rows which share an id stay apart."""
-    return xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "surrogatepass")) - (1 << 63)
-
-
-def _cut(size: int):
-    """Items to rows (item_id, at, words): a window and where it starts."""
+class Terms:
+    """Words to 64-bit hashes, remembered up to `most` words."""
+
+    def __init__(self, most: int = 150_000) -> None:
+        self.most, self.known = most, {}
+
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        known = self.known
+        if len(known) > self.most:
+            known.clear()
+        for w in set(words):
+            if w not in known:
+                known[w] = xxhash.xxh3_64_intdigest(w)
+        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """Integers, compressed: all low bytes first."""
+    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes(), 1)
+
+
+def _unpack(data: bytes, kind: type) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(data), np.uint8)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).ravel()
+
+
+def postings(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(terms, starts, places): distinct tokens, sorted; places[starts[i]:starts[i + 1]] are those of terms[i]."""
+    terms, back, count = np.unique(tokens, return_inverse=True, return_counts=True)
+    return terms, np.concatenate([[0], np.cumsum(count)]).astype(np.int32), np.argsort(back, kind="stable").astype(np.int32)
+
+
+def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, doc_key, text) to segments."""
+    hashed, number = Terms(), (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
+
+    def row(docs: list) -> pa.RecordBatch:
+        tokens = np.concatenate([d[2] for d in docs])
+        terms, starts, places = postings(tokens)
+        begins = np.concatenate([[0], np.cumsum([len(d[2]) for d in docs])])
+        steps = np.diff(places, prepend=np.int32(0)).astype(np.int32)
+        values = [[number], [[d[0] for d in docs]], [[d[1] for d in docs]], [begins], [_pack(terms)], [_pack(starts)], [_pack(steps)]]
+        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), *[pa.binary()] * 3]
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=[x.split()[0] for x in _SEGMENT_ROW.split(", ")])
+
+    held, size = [], 0
+    for batch in batches:
+        for doc, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            words = words_of(text.as_py())
+            held.append((doc, key, hashed(words)))
+            size += sum(map(len, words)) + len(words)
+            if size >= SEGMENT or len(held) >= 1 << 16:
+                yield row(held)
+                held, size, number = [], 0, number + 1
+    if held:
+        yield row(held)
+
+
+def build_index(docs: DataFrame) -> DataFrame:
+    """The stored index of `docs` (doc_id, doc_key, text): a row for each segment."""
+    return stored(docs.select("doc_id", "doc_key", "text").mapInArrow(_index, _SEGMENT_ROW), "postings")
+
+
+class Segment:
+    """One segment's postings, ready to be searched."""
+
+    def __init__(self, begins: np.ndarray, terms: np.ndarray, starts: np.ndarray, places: np.ndarray) -> None:
+        self.begins, self.terms, self.starts = begins.astype(np.int64), terms, starts.astype(np.int64)
+        rank = np.repeat(np.arange(len(terms), dtype=np.int64), np.diff(self.starts))
+        self.places = places.astype(np.int64)
+        self.keys = rank << 32 | self.places  # every list, one after another, in order
+
+    def _in_list(self, rank: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Whether a term's list has a place in low..high."""
+        at = np.searchsorted(self.keys, rank << 32 | np.maximum(low, 0))
+        there = self.keys[np.minimum(at, len(self.keys) - 1)]
+        return (at < len(self.keys)) & (there <= (rank << 32 | np.maximum(high, 0))) & (high >= low)
+
+    def search(self, terms: np.ndarray, windows: np.ndarray, slop: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
+        """(window, document, start, exact) arrays. `windows` holds places in the sorted `terms`, -1 past the end."""
+        if not len(self.keys) or not len(windows):
+            return
+        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        rank = np.where(self.terms[at] == terms, at, -1)
+        own = np.where(windows >= 0, rank[windows], -2)
+        which = np.flatnonzero((own != -1).all(axis=1))
+        own = own[which]
+        size = (own >= 0).sum(axis=1)
+        count = np.where(own >= 0, self.starts[own + 1] - self.starts[own], _ABSENT)
+        order = np.argsort(count, axis=1, kind="stable")
+        n = np.take_along_axis(count, order[:, :1], axis=1)[:, 0]
+        chunk = np.cumsum(n) // AT_ONCE
+        for c in np.unique(chunk):
+            part = np.flatnonzero(chunk == c)
+            win = np.repeat(part, n[part])
+            offset = order[win, 0]
+            list_start = self.starts[own[win, offset]]
+            place = self.places[list_start + np.arange(len(win)) - np.repeat(np.cumsum(n[part]) - n[part], n[part])]
+            doc = np.searchsorted(self.begins, place, side="right") - 1
+            yield from self._exact(which, own, order, size, win, doc, place - offset)
+            if slop:
+                yield from self._near(which, own, order, size, win, doc, place, offset, slop)
+
+    def _exact(self, which, own, order, size, win, doc, start):
+        fits = (start >= self.begins[doc]) & (start + size[win] <= self.begins[doc + 1])
+        win, doc, start = win[fits], doc[fits], start[fits]
+        for k in range(1, own.shape[1]):
+            j = order[win, k]
+            rank = own[win, j]
+            hit = (rank < 0) | self._in_list(np.maximum(rank, 0), start + j, start + j)
+            win, doc, start = win[hit], doc[hit], start[hit]
+            if not len(win):
+                return
+        yield which[win], doc, start, True
+
+    def _near(self, which, own, order, size, win, doc, place, offset, slop):
+        many = size[win] > 1
+        win, doc, place, offset = win[many], doc[many], place[many], offset[many]
+        j = order[win, 1]  # a cheap test first: the second rarest, wherever the window may start
+        mid = place - offset + j
+        hit = self._in_list(own[win, j], np.maximum(mid - 2 * slop, self.begins[doc]), np.minimum(mid + 2 * slop, self.begins[doc + 1] - 1))
+        win, doc, start = win[hit], doc[hit], (place - offset)[hit]
+        shift = np.arange(-slop, slop + 1)
+        win, doc, start = np.repeat(win, len(shift)), np.repeat(doc, len(shift)), (start[:, None] + shift).ravel()
+        fits = (start >= self.begins[doc]) & (start + size[win] <= self.begins[doc + 1])
+        win, doc, start = win[fits], doc[fits], start[fits]
+        same = np.ones(len(win), bool)
+        for k in range(own.shape[1]):
+            j = order[win, k]
+            rank = own[win, j]
+            mid = start + j
+            hit = (rank < 0) | self._in_list(np.maximum(rank, 0), np.maximum(mid - slop, self.begins[doc]), np.minimum(mid + slop, self.begins[doc + 1] - 1))
+            same = same[hit] & ((rank < 0) | self._in_list(np.maximum(rank, 0), mid, mid))[hit]
+            win, doc, start = win[hit], doc[hit], start[hit]
+            if not len(win):
+                return
+        found = np.unique(np.stack([win, doc, start], axis=1)[~same], axis=0)
+        if len(found):
+            yield which[found[:, 0]], found[:, 1], found[:, 2], False
+
+
+def _search(block, slop: int | None):
+    """Segments to (seg, doc, window, first, last, exact), places counted from the document's start."""
+    names = ["seg", "doc", "window", "first", "last", "exact"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, windows, ids = block.value
+        size = (windows >= 0).sum(axis=1)
         for batch in batches:
-            rows = []
-            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                w = [x.decode("utf-8", "surrogatepass") for x in words_of(text)]
-                key = text_key(text)
-                for at in range(max(1, len(w) - size + 1) if w else 0):
-                    lo = max(0, at - size + 1)
-                    rows.append((item, key, at, w[at : at + size], w[lo:at], w[at + size : at + 2 * size - 1]))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int32()] + [pa.list_(pa.string())] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["item_id", "item_key", "at", "words", "before", "after"])
+            for i in range(batch.num_rows):
+                seg, begins, *packed = (batch.column(c)[i].as_py() for c in ("seg", "begins", "terms", "starts", "places"))
+                places = np.cumsum(_unpack(packed[2], np.int32), dtype=np.int64)
+                s = Segment(np.array(begins), _unpack(packed[0], np.uint64), _unpack(packed[1], np.int32), places)
+                for win, doc, start, exact in s.search(terms, windows, slop):
+                    first = start - s.begins[doc]
+                    columns = [np.full(len(win), seg), doc, ids[win], first, first + size[win] - 1]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array([exact] * len(win), pa.bool_())], names=names)
 
     return run
 
 
-def _count(terms):
+def _cut(size: int):
+    """Items to rows (item_id, window, terms): a hash that names the window, and its words' hashes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, found = terms.value, Counter()
+        hashed = Terms()
         for batch in batches:
-            for text in batch.column(0):
-                found.update(filter(known.__contains__, words_of(text.as_py())))
-        yield pa.RecordBatch.from_arrays([pa.array([k.decode("utf-8", "surrogatepass") for k in found], pa.string()), pa.array(list(found.values()), pa.int64())], names=["term", "n"])
+            items, names, terms = [], [], []
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                w = hashed(words_of(text.as_py()))
+                for at in range(max(1, len(w) - size + 1) if len(w) else 0):
+                    own = w[at : at + size]
+                    items.append(item), terms.append(own.view(np.int64))
+                    names.append(xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63))
+            yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), pa.array(names, pa.int64()), pa.array(terms, pa.list_(pa.int64()))], names=["item_id", "window", "terms"])
 
     return run
 
 
-def _index(anchors, reach: int):
-    """Texts to (doc_id, doc_key, n_words, terms, places, around): a document's postings of anchor terms."""
+def _block(rows: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted terms, windows as places in them, window names)."""
+    column = rows.column("terms").combine_chunks()
+    length = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    terms, back = np.unique(flat, return_inverse=True)
+    windows = np.full((len(length), size), -1, np.int64)
+    row = np.repeat(np.arange(len(length)), length)
+    windows[row, np.arange(len(flat)) - np.repeat(np.cumsum(length) - length, length)] = back
+    return terms, windows, rows.column("window").to_numpy()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = anchors.value
-        for batch in batches:
-            keys, n, terms, places, around = [], [], [], [], []
-            for text in batch.column(1):
-                t = text.as_py()
-                w = words_of(t)
-                at = [i for i, x in enumerate(w) if x in known]
-                keys.append(text_key(t)), n.append(len(w)), places.append(at)
-                terms.append([known[w[i]] for i in at])
-                around.append([(b" " * max(0, reach - i) + b" ".join(w[max(0, i - reach) : i + reach + 1]) + b" " * max(0, i + reach + 1 - len(w))).decode("utf-8", "surrogatepass") for i in at])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(keys, pa.int64()), pa.array(n, pa.int64()), pa.array(terms, pa.list_(pa.int32())), pa.array(places, pa.list_(pa.int32())), pa.array(around, pa.list_(pa.string()))],
-                names=["doc_id", "doc_key", "n_words", "terms", "places", "around"],
-            )
 
-    return run
+def find(index: DataFrame, benchmark: DataFrame, size: int, slop: int | None, block: int) -> DataFrame:
+    """(seg, doc, item_id, window, first, last, exact): where items' windows are in the index."""
+    spark = index.sparkSession
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    cut = stored(items.mapInArrow(_cut(size), "item_id long, window long, terms array<long>"), "windows")
+    distinct = stored(cut.groupBy("window").agg(F.first("terms").alias("terms")), "windows")
+    blocks = max(1, math.ceil(distinct.count() / block))
+    hits = None
+    with small_batches(spark, FEW):
+        for b in range(blocks):
+            rows = distinct.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == b).toArrow()
+            own = spark.sparkContext.broadcast(_block(rows, size))
+            found = stored(index.select("seg", "begins", "terms", "starts", "places").mapInArrow(_search(own, slop), "seg long, doc long, window long, first long, last long, exact boolean"), "hits")
+            own.unpersist()
+            hits = found if hits is None else hits.unionByName(found)
+    return hits.join(cut.select("window", "item_id").distinct(), "window")
+
+
+def documents_of(index: DataFrame) -> DataFrame:
+    """(seg, doc, doc_id, doc_key, n_words): a row for each document of the index."""
+    lengths = F.transform(F.slice("begins", 2, F.size("begins")), lambda x, i: x - F.get(F.col("begins"), i))
+    each = index.select("seg", F.posexplode(F.arrays_zip("doc_ids", "doc_keys", lengths.alias("n_words"))).alias("doc", "d"))
+    return each.select("seg", F.col("doc").cast("long").alias("doc"), F.col("d.doc_ids").alias("doc_id"), F.col("d.doc_keys").alias("doc_key"), F.col("d.n_words").cast("long").alias("n_words"))
 
 
-def _run_length(same: Column) -> Column:
-    """Trues at the start of a boolean array."""
-    first = F.array_position(same, F.lit(False))
-    return F.when(first == 0, F.size(same)).otherwise(first - 1).cast("int")
-
-
-class Index:
-    """Postings of one block of windows, with what is needed to look the block's items up in them."""
-
-    def __init__(self, docs: DataFrame, block: list, size: int) -> None:
-        spark, self.size, reach = docs.sparkSession, size, size - 1
-        sc = spark.sparkContext
-        vocabulary = sc.broadcast({w.encode("utf-8", "surrogatepass") for row in block for w in row["words"]})
-        counts = dict(docs.select("text").mapInArrow(_count(vocabulary), "term string, n long").groupBy("term").agg(F.sum("n")).collect())
-        first, second, numbers = {}, set(), {}
-        for row in block:
-            w = row["words"]
-            if not all(x in counts for x in w):
-                continue
-            rare = sorted(set(w), key=lambda x: (counts[x], x))[:2]
-            at = [w.index(x) for x in rare]
-            line = ["\x01"] * (reach - len(row["before"])) + row["before"] + w + row["after"] + ["\x01"] * 2 * reach
-            place = (row["item_id"], row["item_key"], row["at"] + at[0])
-            first[place] = (numbers.setdefault(rare[0], len(numbers)), " ".join(line[at[0] : at[0] + 2 * reach + 1]), len(w))
-            second.add((*place, numbers.setdefault(rare[-1], len(numbers)), at[-1] - at[0]))
-        self.first = spark.createDataFrame([k + v for k, v in first.items()], "item_id long, item_key long, anchor int, term int, line string, need int")
-        self.second = spark.createDataFrame(list(second), "item_id long, item_key long, anchor int, term int, apart int")
-        known = sc.broadcast({x.encode("utf-8", "surrogatepass"): i for x, i in numbers.items()})
-        self.docs = stored(docs.select("doc_id", "text").mapInArrow(_index(known, reach), "doc_id long, doc_key long, n_words long, terms array<int>, places array<int>, around array<string>"), "postings")
-        self.postings = self.docs.where(F.size("terms") > 0).select("doc_id", "doc_key", F.explode(F.arrays_zip("terms", "places", "around")).alias("p")).select("doc_id", "doc_key", F.col("p.terms").alias("term"), F.col("p.places").alias("place"), F.col("p.around").alias("around"))
-
-    def exact(self) -> DataFrame:
-        """(doc_id, doc_key, item_id, first, last): runs of document words that are runs of an item's."""
-        reach = self.size - 1
-        doc = ["doc_id", "doc_key", "item_id", "item_key", "anchor"]
-        one = self.postings.join(self.first, "term").withColumn("start", F.col("place") - F.col("anchor"))
-        two = self.postings.select("doc_id", "doc_key", "term", "place").join(self.second, "term").select(*doc, (F.col("place") - F.col("apart") - F.col("anchor")).alias("start"))
-        on = F.lit(True)
-        for c in [*doc, "start"]:
-            on = on & F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}"))
-        both = one.alias("x").join(two.alias("y"), on, "left_semi")
-        same = F.zip_with(F.split("around", " ", -1), F.split("line", " ", -1), lambda a, b: (a == b) & (a != ""))
-        runs = both.withColumn("same", same).withColumn("left", _run_length(F.reverse(F.slice("same", 1, reach))) if reach else F.lit(0)).withColumn("right", _run_length(F.slice("same", reach + 2, reach)) if reach else F.lit(0))
-        return runs.where("left + right + 1 >= need").select("doc_id", "doc_key", "item_id", (F.col("place") - F.col("left")).alias("first"), (F.col("place") + F.col("right")).alias("last")).distinct()
-
-    def near(self, slop: int) -> DataFrame:
-        """(doc_id, doc_key, item_id, first, last): both anchors of a window, in place but for 1 to `slop` words."""
-        step = slop + 1
-        doc = ["doc_id", "doc_key", "item_id", "item_key", "anchor"]
-        one = self.postings.drop("around").join(self.first.drop("line", "need"), "term").withColumn("start", F.col("place") - F.col("anchor"))
-        one = one.withColumn("cell", F.explode(F.array(*[F.floor(F.col("start") / step) + i for i in (-1, 0, 1)])))
-        two = self.postings.drop("around").join(self.second, "term").withColumn("start", F.col("place") - F.col("apart") - F.col("anchor")).withColumn("cell", F.floor(F.col("start") / step))
-        on = F.col("x.cell") == F.col("y.cell")
-        for c in doc:
-            on = on & F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}"))
-        pairs = one.alias("x").join(two.alias("y"), on & F.abs(F.col("x.start") - F.col("y.start")).between(1, slop) & (F.col("x.term") != F.col("y.term")))
-        return pairs.select("x.doc_id", "x.doc_key", "x.item_id", F.least("x.place", "y.place").alias("first"), F.greatest("x.place", "y.place").alias("last")).distinct()
-
-
-def _items(benchmark: DataFrame, size: int, block: int):
-    kind = "item_id long, item_key long, at int, words array<string>, before array<string>, after array<string>"
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    windows = stored(items.mapInArrow(_cut(size), kind).dropDuplicates(["item_id", "item_key", "at"]), "windows")
-    blocks = max(1, math.ceil(windows.count() / block))
-    for b in range(blocks):
-        yield windows.where(F.pmod(F.xxhash64("item_id", "item_key", "at"), F.lit(blocks)) == b).collect()
+def _texts(docs: DataFrame) -> DataFrame:
+    """With the id, a hash of the text names a row, so that rows which share an id stay apart."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("doc_key"), text.alias("text"))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, size: int = 10, slop: int = 3, block: int = 50_000) -> DataFrame:
-    """(doc_id, item_id, first, last, kind): word spans of documents that hold an item's words.
+def _covered(hits: DataFrame, by: list[str]) -> DataFrame:
+    """Spans (first, last) with `fresh`, the words that no span before them in order covers."""
+    order = Window.partitionBy(*by).orderBy("first", "last")
+    seen = hits.select(*by, "first", "last").distinct().withColumn("past", F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    return seen.withColumn("fresh", F.greatest(F.lit(0), F.col("last") - F.greatest(F.col("first") - 1, F.coalesce("past", F.lit(-1)))))
 
-    kind is `exact` (a run of the document that spans a window of the item) or `near` (a window's two
-    rarest words within `slop` words of their places, a lead to look at, not proof).
-    """
-    out = None
-    for rows in _items(benchmark, size, block):
-        index = Index(_texts(docs), rows, size)
-        found = index.exact().withColumn("kind", F.lit("exact")).unionByName(index.near(slop).withColumn("kind", F.lit("near"))).drop("doc_key")
-        out = found if out is None else out.unionByName(found)
-    return out.distinct()
 
+def matches(docs: DataFrame, benchmark: DataFrame, size: int = 10, slop: int = SLOP, block: int = BLOCK) -> DataFrame:
+    """(doc_id, item_id, first, last, kind): word spans of documents that hold an item's words.
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    kind is `exact` (a longest span in which windows of the item lie side by side or overlap) or `near` (for an
+    item with places where each word of a window of two words or more stands within `slop` words of its place in
+    the document but not all in it: from the first such place to the last word of the last one). Null ids and
+    items, empty texts and repeated rows are as in contamination(); repeated rows give equal spans once.
+    """
+    with tidy() as kept:
+        index = build_index(_texts(docs))
+        hits = stored(find(index, benchmark, size, slop, block), "hits")
+        by = ["seg", "doc", "item_id"]
+        order = Window.partitionBy(*by).orderBy("first", "last")
+        runs = _covered(hits.where("exact"), by).withColumn("island", F.sum(F.when(F.col("first") <= F.col("past") + 1, 0).otherwise(1)).over(order))
+        spans = runs.groupBy(*by, "island").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("island").withColumn("kind", F.lit("exact"))
+        near = hits.where("NOT exact").groupBy(*by).agg(F.min("first").alias("first"), F.max("last").alias("last")).withColumn("kind", F.lit("near"))
+        named = spans.unionByName(near).join(documents_of(index).select("seg", "doc", "doc_id"), ["seg", "doc"])
+        return kept(stored(named.select("doc_id", "item_id", "first", "last", "kind").distinct(), "matches"))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, block: int = 50_000) -> DataFrame:
-    """One row per row of `docs`: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, block: int = BLOCK, slop: int | None = SLOP) -> DataFrame:
+    """One row per row of `docs`: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near.
 
     A window is `size` consecutive words of an item, or all of a shorter item's. A document word is hit if
-    it lies in an occurrence of a window. Null and empty texts have no words, so nothing hits them and an
-    item without words hits nothing. Null ids are kept, rows that share an id are judged each by its own
-    text, repeated rows stay repeated, repeated items count once. Other columns are ignored. With an empty
-    benchmark nothing is hit; empty documents give no rows.
+    it lies in an occurrence of a window. n_near counts the items with a proximity match (see matches; null if
+    slop is None or 0) and no exact one: leads to look at, which mark nothing. Null and empty texts have no
+    words, so nothing hits them and an item without words hits nothing. Null ids are kept, rows that share an id
+    are judged each by its own text, repeated rows stay repeated, repeated items count once. Other columns are
+    ignored. With an empty benchmark nothing is hit; empty documents give no rows.
     """
-    return _judged(docs, benchmark, size, block).drop("doc_key")
+    return _judged(docs, benchmark, size, block, slop).drop("doc_key")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of `docs` that contamination() does not mark, each by its own id and text."""
-
-    @F.pandas_udf("long")
-    def key(text: pd.Series) -> pd.Series:
-        return pd.Series([text_key(t) for t in text], dtype="int64")
-
-    hit = _judged(docs, benchmark, 10, 50_000).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("doc_key").alias("_hit")).distinct()
-    keyed = docs.withColumn("_key", key(F.col("text").cast("string")))
-    return keyed.join(hit, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_hit")), "left_anti").select(docs.columns)
-
-
-def _judged(docs: DataFrame, benchmark: DataFrame, size: int, block: int) -> DataFrame:
-    """contamination() with doc_key, the key of the row's text."""
-    texts, found, rows = _texts(docs), None, None
-    for part in _items(benchmark, size, block):
-        index = Index(texts, part, size)
-        rows = rows or index.docs.select("doc_id", "doc_key", "n_words")
-        found = index.exact() if found is None else found.unionByName(index.exact())
-    found = stored(found, "hits")
-    doc = Window.partitionBy("doc_id", "doc_key")
-    order = doc.orderBy("first", "last")
-    seen = found.select("doc_id", "doc_key", "first", "last").distinct().withColumn("past", F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    fresh = F.greatest(F.lit(0), F.col("last") - F.greatest(F.col("first") - 1, F.coalesce("past", F.lit(-1))))
-    hit = seen.groupBy("doc_id", "doc_key").agg(F.sum(fresh).alias("n_hit"))
-    items = found.groupBy("doc_id", "doc_key").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    for side in (hit, items):
-        on = F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.doc_key") == F.col("r.doc_key"))
-        rows = rows.alias("l").join(side.alias("r"), on, "left").select("l.*", F.col(f"r.{side.columns[-1]}"))
-    return rows.select(
-        "doc_id", "doc_key", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
-        F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")).cast("binary"), 256).alias("items_sha256"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"),
-    )
+    """The rows of `docs`, whole, that contamination() does not mark, each by its own id and text, with or
+    without an id. Null and empty texts stay; so does everything with an empty benchmark."""
+    gone = _judged(docs, benchmark, 10, BLOCK, None).where("contaminated").select("doc_id", "doc_key")
+    return without(docs, gone, [F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))])
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, size: int, block: int, slop: int | None) -> DataFrame:
+    """contamination() with doc_key, the hash of the row's text."""
+    with tidy() as kept:
+        index = build_index(_texts(docs))
+        hits = stored(find(index, benchmark, size, slop, block), "hits")
+        doc = ["seg", "doc"]
+        n_hit = _covered(hits.where("exact"), doc).groupBy(*doc).agg(F.sum("fresh").alias("n_hit"))
+        by_item = hits.groupBy(*doc, "item_id").agg(F.max("exact").alias("exact"))
+        items = by_item.groupBy(*doc).agg(F.sort_array(F.collect_set(F.when(F.col("exact"), F.col("item_id").cast("string")))).alias("items"), F.sum(F.when(F.col("exact"), 0).otherwise(1)).alias("n_near"))
+        rows = documents_of(index).join(n_hit, doc, "left").join(items, doc, "left")
+        near = F.coalesce("n_near", F.lit(0)).cast("long") if slop else F.lit(None).cast("long")
+        out = rows.select(
+            "doc_id", "doc_key", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
+            F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")).cast("binary"), 256).alias("items_sha256"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"), near.alias("n_near"),
+        )
+        return kept(stored(out, "contamination"))

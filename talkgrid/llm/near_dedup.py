@@ -26,13 +26,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talkgrid.llm.common import discard, small_batches, stored
+from talkgrid.llm.common import bitmap_of, discard, is_marked, one_row_each, small_batches, stored, tidy, without
 
 K, BITS = 128, 1024
 #: Most members of a bucket block that are held against another block at once.
 BLOCK, BLOCK_SHINGLES = 2048, 2_000_000
-#: Bits of the bitmap of wanted ids.
-FILTER = 1 << 24
 #: Rows that carry whole shingle sets are handed to Python so many at a time.
 LARGE_ROWS = 256
 
@@ -221,12 +219,15 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     before = None
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        hung = large.join(low, "u")
-        small = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        # minima are stored, as Spark splits a hot key only where both sides of a join are plain exchanges
+        low = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "lowest")
+        large = stored(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct(), "large")
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "lowest")
+        hung = large.join(least, "u")
+        small = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         after = stored(small, "edges")
+        for old in (low, large, least):
+            discard(old)
         mark = tuple(after.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("u", "v").cast("long"))).first())
         discard(now)
         now = after
@@ -246,49 +247,62 @@ def near_groups(docs: DataFrame, width: int = 3, percent: int = 85, id_col: str
     `kept` marks every row whose id is its component's. An empty table gives an empty result.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    with tidy() as kept:
+        return kept(stored(_grouped(texts, width, percent), "near-groups"))
+
+
+def _grouped(texts: DataFrame, width: int, percent: int) -> DataFrame:
+    spark = texts.sparkSession
     feats = stored(texts.mapInArrow(_features(width, band_rows(percent)), FEATURES), "features")
     full = feats.where("n_shingles > 0 AND doc_id IS NOT NULL")
     slim = full.select("doc_id", "fp")
-    member = stored(slim.join(slim.groupBy("fp").agg(F.min("doc_id").alias("rid")), "fp").select("doc_id", "rid").distinct(), "members")
+    # what a hot fingerprint or bucket joins is stored first, so that Spark can split the hot key
+    first = stored(slim.groupBy("fp").agg(F.min("doc_id").alias("rid")), "prints")
+    member = stored(slim.join(first, "fp").select("doc_id", "rid").distinct(), "members")
     lead = stored(full.select("doc_id", "n_shingles", "bands", "sketch").join(member.where("doc_id = rid").select("doc_id"), "doc_id", "left_semi"), "leaders")
     cards = lead.select("doc_id", "sketch", "bands")
 
     bands = lead.select("doc_id", F.posexplode("bands").alias("band", "key"))
-    heads = bands.groupBy("key").agg(F.min("doc_id").alias("head"), F.count("*").alias("size")).where("size > 1")
+    heads = stored(bands.groupBy("key").agg(F.min("doc_id").alias("head"), F.count("*").alias("size")).where("size > 1"), "heads")
     shared = stored(bands.join(heads, "key"), "buckets")
+    discard(first), discard(heads)
     stars = shared.where("doc_id != head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
-    with small_batches(docs.sparkSession, LARGE_ROWS):
-        links = stored(_confirmed(stars, cards, texts, width, percent), "links")
+    with small_batches(spark, LARGE_ROWS), tidy() as kept:
+        links = kept(stored(_confirmed(stars, cards, texts, width, percent), "links"))
 
     many = member.groupBy("doc_id").agg(F.min("rid").alias("a"), F.max("rid").alias("_m")).where("a < _m")
     same = member.join(many, "doc_id").where("rid != a").select("a", F.col("rid").alias("b"))
-    comp = stored(components(links.unionByName(same)), "components")
+    with tidy() as kept:
+        comp = kept(stored(components(links.unionByName(same)), "components"))
 
     labelled = shared.where("size > 2").select("key", "band", "doc_id").join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
     weighed = labelled.join(lead.select("doc_id", "n_shingles"), "doc_id")
     mixed = weighed.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count("*").alias("_n"), F.sum("n_shingles").alias("_s")).where("_lo < _hi")
     blocks = F.greatest(F.ceil(F.col("_n") / BLOCK), F.ceil(F.col("_s") / BLOCK_SHINGLES)).cast("int")
-    held = stored(labelled.join(mixed.select("key", blocks.alias("_p")), "key"), "mixed")
-    sets = _sets_of(held.select("doc_id").distinct(), texts, width)
-    cells = (
-        held.withColumn("side", F.pmod(F.xxhash64("doc_id"), F.col("_p")).cast("int"))
-        .withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_p") - 1)))
-        .select(F.xxhash64("key", F.least("side", "_o"), F.greatest("side", "_o")).alias("cell"), "band", "side", "doc_id", "comp")
-        .join(cards.join(sets, "doc_id"), "doc_id")
-    )
-    cross = cells.repartition("cell").sortWithinPartitions("cell", "side", "doc_id").mapInArrow(_across(most_odd_bits(percent / 100), percent), "a long, b long")
-    with small_batches(docs.sparkSession, LARGE_ROWS):
-        more = stored(cross.distinct(), "links")
+    mixed = stored(mixed.select("key", blocks.alias("_p")), "crowded")
+    held = stored(labelled.join(mixed, "key"), "mixed")
+    discard(shared), discard(mixed)
+    with small_batches(spark, LARGE_ROWS), tidy() as kept:
+        sets = _sets_of(held.select("doc_id").distinct(), texts, width)
+        cells = (
+            held.withColumn("side", F.pmod(F.xxhash64("doc_id"), F.col("_p")).cast("int"))
+            .withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_p") - 1)))
+            .select(F.xxhash64("key", F.least("side", "_o"), F.greatest("side", "_o")).alias("cell"), "band", "side", "doc_id", "comp")
+            .join(stored(cards.join(sets, "doc_id"), "cards"), "doc_id")
+        )
+        cross = cells.repartition("cell").sortWithinPartitions("cell", "side", "doc_id").mapInArrow(_across(most_odd_bits(percent / 100), percent), "a long, b long")
+        more = kept(stored(cross.distinct(), "links"))
     if more.isEmpty():
         final = comp
     else:
         name = comp.select(F.col("id").alias("a"), F.col("comp").alias("ca"))
-        lifted = more.join(name, "a", "left").join(name.select(F.col("a").alias("b"), F.col("ca").alias("cb")), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-        merged = components(lifted).withColumnRenamed("id", "c0").withColumnRenamed("comp", "c1")
+        lifted = stored(more.join(name, "a", "left").join(name.select(F.col("a").alias("b"), F.col("ca").alias("cb")), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), "links")
+        merged = stored(components(lifted).withColumnRenamed("id", "c0").withColumnRenamed("comp", "c1"), "components")
         nodes = comp.unionByName(lifted.select(F.explode(F.array("a", "b")).alias("id")).select("id", F.col("id").alias("comp")).distinct()).distinct()
-        nodes = nodes.groupBy("id").agg(F.min("comp").alias("c0"))
+        nodes = stored(nodes.groupBy("id").agg(F.min("comp").alias("c0")), "nodes")
         final = nodes.join(merged, "c0", "left").select("id", F.coalesce("c1", "c0").alias("comp"))
-    head = member.groupBy("doc_id").agg(F.min("rid").alias("rid")).join(final.withColumnRenamed("id", "rid"), "rid", "left").select("doc_id", F.coalesce("comp", "rid").alias("_c"))
+    own = stored(member.groupBy("doc_id").agg(F.min("rid").alias("rid")), "representatives")
+    head = own.join(stored(final.withColumnRenamed("id", "rid"), "components"), "rid", "left").select("doc_id", F.coalesce("comp", "rid").alias("_c"))
     return (
         feats.select("doc_id", "n_shingles").join(head, "doc_id", "left")
         .withColumn("component_id", F.coalesce(F.least("_c", "doc_id"), "doc_id"))
@@ -296,24 +310,28 @@ def near_groups(docs: DataFrame, width: int = 3, percent: int = 85, id_col: str
     )
 
 
+def one_of_each(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, whole, that near_groups keeps; of rows that share an id one, the first by a hash of
+    the row. Rows without an id stay, and so do null and empty texts (with an id, in one row each)."""
+    groups = near_groups(docs, width, percent, id_col, text_col)
+    stay = without(docs, groups.where("NOT kept").select("doc_id").distinct(), [F.col(id_col).cast("long")])
+    again = groups.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    return one_row_each(stay, again, F.col(id_col).cast("long")).select(docs.columns)
+
+
 def _sets_of(wanted: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """(doc_id, shingles) of the wanted documents. A bitmap of their hashed ids, FILTER bits whatever their
-    number, spares most other texts the tokenising and the shuffle; a join then lets just the wanted pass."""
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER))
-    marks = wanted.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, int(pmod(xxhash64(doc_id), {FILTER}) % 64))")).alias("v")).toArrow()
-    bitmap = np.zeros(FILTER // 64, np.uint64)
-    bitmap[marks.column("w").to_numpy()] = marks.column("v").to_numpy().view(np.uint64)
-    bitmap = texts.sparkSession.sparkContext.broadcast(bitmap)
+    """(doc_id, shingles) of the wanted documents. A bitmap of their hashed ids, of bounded size, spares most
+    other texts the tokenising and the shuffle; a join then lets just the wanted pass."""
+    bitmap, bits = bitmap_of(wanted.select(F.xxhash64("doc_id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(width)
         for batch in batches:
-            at = batch.column(2).to_numpy(zero_copy_only=False)
-            mask = pa.array((bitmap.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)
+            mask = pa.array(is_marked(bitmap.value, batch.column(2).to_numpy(zero_copy_only=False)))
             ids, text = batch.column(0).filter(mask), batch.column(1).filter(mask)
             yield pa.RecordBatch.from_arrays([ids, pa.array([shingle(t.as_py()).tobytes() for t in text], pa.binary())], names=["doc_id", "shingles"])
 
-    found = texts.where("doc_id IS NOT NULL").withColumn("slot", slot).mapInArrow(run, "doc_id long, shingles binary")
+    found = texts.where("doc_id IS NOT NULL").withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(bits))).mapInArrow(run, "doc_id long, shingles binary")
     return stored(found.join(wanted, "doc_id", "left_semi"), "sets")
 
 

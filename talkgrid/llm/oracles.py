@@ -30,11 +30,20 @@ bw AS (
 dw AS (SELECT doc_id, k, unnest(range(1, len(w) - k + 2)) AS i, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS g
   FROM d, ks WHERE len(w) >= k),
 h AS (SELECT DISTINCT doc_id, item_id, i, dw.k FROM dw JOIN bw ON bw.g = dw.g AND bw.k = dw.k),
+dp AS (SELECT doc_id, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS i FROM d),
+ww AS (SELECT DISTINCT k, g, string_split(g, ' ') AS l FROM bw WHERE k >= 2),
+wj AS (SELECT g, k, unnest(l) AS t, unnest(range(0, k)) AS j FROM ww),
+wr AS (SELECT g, k, arg_min(t, (coalesce(n, 0), t, j)) AS t, arg_min(j, (coalesce(n, 0), t, j)) AS j FROM wj LEFT JOIN (SELECT t, count(*) AS n FROM dp GROUP BY 1) USING (t) GROUP BY g, k),
+nc AS (SELECT DISTINCT dp.doc_id, wr.g, dp.i - wr.j + o AS st FROM wr JOIN dp ON dp.t = wr.t, (SELECT unnest(range(-3, 4)) AS o)),
+nr AS (SELECT DISTINCT nc.doc_id, bw.item_id FROM nc JOIN d ON d.doc_id = nc.doc_id JOIN ww ON ww.g = nc.g JOIN bw ON bw.g = nc.g AND bw.k = ww.k WHERE st >= 1 AND st + ww.k - 1 <= len(w)
+  AND len(list_filter(range(0, ww.k), lambda j: list_contains(w[greatest(1, st + j - 3) : least(len(w), st + j + 3)], l[j + 1]))) = ww.k),
+nn AS (SELECT doc_id, count(*) AS n_near FROM nr ANTI JOIN h USING (doc_id, item_id) GROUP BY 1),
 c AS (SELECT doc_id, count(DISTINCT i + o) AS n_hit FROM h, (SELECT unnest(range(10)) AS o) WHERE o < k GROUP BY 1),
 t AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, list_sort(list_distinct(list(CAST(item_id AS VARCHAR)))) AS items FROM h GROUP BY 1)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-  sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
+  sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+  CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN nn USING (doc_id)
 """
 
 MIX = r"""

@@ -62,5 +62,21 @@ def leaks(docs, items, size=10):
     return Counter(out)
 
 
+def near_leaks(docs, items, size=10, slop=3):
+    """For each document, the items all of whose words some window has within slop of their places, and no exact one."""
+    out = []
+    for _, text in docs:
+        w, found = words(text), set()
+        for item, own in items:
+            v = words(own)
+            grams = [v[k : k + size] for k in range(max(1, len(v) - size + 1))] if v else []
+            if any(w[s : s + len(g)] == g for g in grams for s in range(len(w) - len(g) + 1)):
+                continue
+            if any(all(x in w[max(0, s + j - slop) : s + j + slop + 1] for j, x in enumerate(g)) for g in grams if len(g) > 1 for s in range(len(w) - len(g) + 1)):
+                found.add(item)
+        out.append(len(found))
+    return out
+
+
 def rows(df):
     return Counter(tuple(r) for r in df.collect())
