@@ -1,69 +1,16 @@
-"""A corpus pipeline: five of the training-data operators, one after another, over the table `documents`.
-
-Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept. The first four return
-the columns of documents; the last returns the copies that the mixture is made of.
-"""
+"""A corpus pipeline: five of the training-data operators, one after another, over the table `documents`."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talkgrid.llm.common import ship, stored, table
-from talkgrid.llm.decontaminate import clean
-from talkgrid.llm.language_id import keep_known
-from talkgrid.llm.mixing import mixture
-from talkgrid.llm.near_dedup import near_groups
-from talkgrid.llm.quality_classifier import keep_good
-
-
-def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier rejects go."""
-    return keep_good(docs, table(spark, sf_dir, "labels"))
-
-
-def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language is made out go."""
-    ship(spark)
-    return keep_known(docs)
-
-
-def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one with the smallest id, in one row. Groups are
-    made of five-word shingles at a similarity of 0.8. Rows without an id stay."""
-    ship(spark)
-    groups = stored(near_groups(docs, width=5, percent=80), "groups")
-    gone = groups.where("NOT kept").select("doc_id").distinct()
-    stay = docs.join(gone, "doc_id", "left_anti")
-    again = groups.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    single = stay.join(again, "doc_id", "left_anti")
-    return single.unionByName(stay.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(docs.columns)
-
-
-def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go, each row by its own text, with or without an id."""
-    return clean(docs, table(spark, sf_dir, "benchmark"))
-
-
-def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The copies of documents that the temperature mixture takes, with their places."""
-    ship(spark)
-    return mixture(docs)
-
+from talkgrid.llm import stages
 
-STAGES = [
-    ("quality classifier", quality_classifier),
-    ("language ID", language_id),
-    ("MinHash near-dedup", minhash_near_dedup),
-    ("benchmark decontamination", benchmark_decontamination),
-    ("mixing sources to target weights", mixing_sources),
-]
+STAGES = stages.STAGES
 
 #: The trained stages can't be said in SQL; tests hold the others against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return stages.run(spark, sf_dir)
