@@ -32,14 +32,36 @@ def test_markup(page, want):
     assert text_of(page) == want
 
 
-def test_suffix_order_matches_sorting():
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<body class="single comments-open"><article><p>t</p></article></body>', "t"), ('<article class="post comments-open"><p>t</p></article>', "t"), ('<div id="page" class="with-sidebar"><article><p>t</p></article></div>', "t"),
+        ('<div class="social-science"><main><p>t</p></main></div>', "t"), ('<form id="aspnetForm"><p>x</p><article><p>t</p></article><p>y</p></form>', "t"), ('<article><p>t</p><section class="related-work"><p>u</p></section></article>', "t\nu"),
+        ('<div class="modal"><div><article><p>t</p></article></div></div>', "t"), ('<article><p>t</p></article><div class="related-posts"><article><p>teaser</p></article></div>', "t"),
+        ('<div class="related-posts"><article><p>teaser</p></article></div><article><p>t</p></article>', "t"), ('<article><p>t</p></article><div id="comments"><article class="comment-body"><p>c</p></article></div>', "t"),
+        ('<article><p>t</p><article class="comment"><p>c</p></article></article>', "t"), ("<aside><article><p>x</p></article></aside><p>t</p>", "t"), ('<div class="site-footer"><p>x</p></div><p>t</p>', "t"),
+    ],
+)
+def test_what_is_around_an_article_does_not_take_it_away(page, want):
+    assert text_of(page) == want
+
+
+def test_suffix_array_matches_sorting():
     rng = np.random.default_rng(3)
-    tokens = rng.integers(0, 3, 200)
-    order, same = h.suffix_order(tokens, 6)
-    key = lambda i: [int(x) for x in tokens[i : i + 6]]
-    keys = [key(i) for i in order]
-    assert keys == sorted(keys)
-    assert [bool(x) for x in same[1:]] == [keys[i] == keys[i - 1] for i in range(1, 200)]
+    for tokens in (rng.integers(0, 3, 300), np.zeros(50, np.int64), np.tile([4, 1, 9], 40), np.arange(20)[::-1], np.array([5]), np.repeat([2, -7], 30)):
+        order, common = h.suffix_array(tokens)
+        suffix = [[int(x) for x in tokens[i:]] for i in order]
+        assert suffix == sorted(suffix)
+        for k in range(1, len(order)):
+            n = next((j for j, (x, y) in enumerate(zip(suffix[k - 1], suffix[k], strict=False)) if x != y), min(len(suffix[k - 1]), len(suffix[k])))
+            assert common[k] == n
+
+
+def test_a_repeat_counts_by_its_share_of_a_host():
+    said = " ".join(f"s{i}" for i in range(12))
+    pages = [[(h.LOOSE, f"{said} " * (i < 3) + " ".join(f"w{i}x{k}" for k in range(20)))] for i in range(500)]
+    assert all(said in t for t in h.main_text(pages)[:3])  # three of 500 pages quote, they don't repeat a menu
+    assert not any(said in t for t in h.main_text(pages[:250]))
 
 
 def test_repeated_runs_match_brute_force():
