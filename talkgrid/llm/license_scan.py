@@ -1,8 +1,9 @@
 """License scans with ordered signature rules, in DataFrame functions only.
 
 A text is lower-cased and reduced to words one space apart. Cheap `contains` tests on a few roots pass most
-texts by. For the rest, each rule whose keyword the text holds runs its regular expression; the pieces
-between matches give each match's place in words. Detections are then swept in order of place: one that
+texts by. For the rest, each rule whose keyword the text holds runs its regular expression, a literal that is
+compiled once, which puts marks around its matches; the pieces between marks give each match's place in words.
+No expression repeats a group without bound, so no text, however long, nests matches deeply. Detections are then swept in order of place: one that
 lies within another of equal or better priority goes (of two on the same words, the better priority, then
 the earlier rule, stays). Everything is a narrow expression over one row: no shuffle, no explosion.
 """
@@ -10,6 +11,7 @@ the earlier rule, stays). Everything is a narrow expression over one row: no shu
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import ascii_lowercase, ascii_uppercase
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -134,7 +136,7 @@ cc0; cc0; cc0( 1 0)?( universal)?
 cc; creative commons; (licensed )?under (a |the )?creative commons( licen[cs]e)?
 no-warranty; without warranty; provided as is without warranty of any kind
 no-warranty; without any warranty; without any warranty without even the implied warranty of merchantability
-copyright; copyright; copyright( c| ©)? (19|20)\d\d( (19|20)\d\d)*( by)?( [^ ]+){0,3}
+copyright; copyright; copyright( c| ©)? (19|20)\d\d( (19|20)\d\d){0,12}( by)?( [^ ]+){0,3}
 copyright; copyright; copyright( c| ©)? [^ ]+ (19|20)\d\d
 all-rights-reserved; all rights reserved; all rights reserved
 proprietary; proprietary; proprietary (and confidential licen[cs]e|licen[cs]e)
@@ -194,16 +196,25 @@ WEIGHTS = (1.0, 0.95, 0.8, 0.5)
 
 def spaced(text: Column) -> Column:
     """Words of other than ASCII punctuation and controls, A-Z lower-cased, one space apart."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
+    return F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), ascii_uppercase, ascii_lowercase), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
 
 
 def _spaces(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
 
+def let(value: Column, body: Callable) -> Column:
+    """body(value), with the value computed once: as a lambda's variable, and not at each place that names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def scan(values: Column, zero: Column, step: Callable, out: Callable, kind: str, block: int = 256) -> Column:
     """out(state, x) for each x of an array, where the state before x is step() over all before. In blocks, as
     each append copies an array: linear but for a small factor, however long the array."""
+    return let(values, lambda v: _scan(v, zero, step, out, kind, block))
+
+
+def _scan(values: Column, zero: Column, step: Callable, out: Callable, kind: str, block: int) -> Column:
     none = F.array().cast(f"array<{kind}>")
 
     def one(acc: Column, x: Column) -> Column:
@@ -211,44 +222,61 @@ def scan(values: Column, zero: Column, step: Callable, out: Callable, kind: str,
 
     def many(acc: Column, b: Column) -> Column:
         inner = F.aggregate(F.slice(values, b * block + 1, block), F.struct(acc["s"].alias("s"), none.alias("o")), one)
-        return F.struct(inner["s"].alias("s"), F.concat(acc["o"], F.array(inner["o"])).alias("o"))
+        return let(inner, lambda r: F.struct(r["s"].alias("s"), F.concat(acc["o"], F.array(r["o"])).alias("o")))
 
     start = F.struct(zero.alias("s"), F.array().cast(f"array<array<{kind}>>").alias("o"))
     whole = F.flatten(F.aggregate(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / block).cast("int")), start, many)["o"])
     return F.when(F.size(values) == 0, none).otherwise(whole)
 
 
-def places(words: Column, regex: Column, found: Column) -> Column:
-    """Array of (first, past): where a regular expression's matches, `found`, are, in words of the spaced text."""
-    pieces = F.split(words, regex, -1)
-    gaps = F.transform(F.slice(pieces, 1, F.size(found)), lambda p, i: _spaces(p) + F.when(i > 0, _spaces(F.get(found, i - 1))).otherwise(0))
+#: Marks around a match; spaced text holds no controls.
+_OPEN, _SHUT = "\x01", "\x02"
+
+
+def places(text: Column) -> Column:
+    """Array of (first, past), in words, of the marked matches of a text."""
+    return let(F.split(text, _OPEN, -1), _placed)
+
+
+def _placed(pieces: Column) -> Column:
+    after = F.slice(pieces, 2, F.size(pieces) - 1)
+    gaps = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), _spaces)
     firsts = scan(gaps, F.lit(0), lambda s, x: s + x, lambda s, x: s + x, "int")
-    return F.zip_with(firsts, found, lambda a, m: F.struct(a.alias("first"), (a + _spaces(m) + 1).alias("past")))
+    return F.zip_with(firsts, after, lambda a, m: F.struct(a.alias("first"), (a + _spaces(F.substring_index(m, _SHUT, 1)) + 1).alias("past")))
+
 
+def _matching(words: str, rules: list[tuple[str, str, str]]) -> Column:
+    """Array of (about, text) for the (keyword, expression, about) that match in a column: `about`, which is SQL, and
+    the text with marks around the matches. As one piece of SQL, as hundreds of columns take long to put together."""
+    quote = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    mark = quote(f"{_OPEN}$0{_SHUT}")
+    each = [f"named_struct('about', {about}, 'text', CASE WHEN contains({words}, {quote(keyword)}) THEN regexp_replace({words}, {quote(regex)}, {mark}) END)" for keyword, regex, about in rules]
+    return F.expr(f"filter(array({', '.join(each)}), x -> contains(x.text, '{_OPEN}'))")
 
-def detections(words: Column, rules: list[Rule] = RULES) -> Column:
-    """Array of (first, past, label, rule), suppressed ones gone, in order of place."""
-    table = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(r.priority).alias("priority"), F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.lit(r.regex).alias("regex")) for i, r in enumerate(rules)])
-    gated = F.filter(table, lambda r: F.contains(words, r["keyword"]))
-    found = F.filter(F.transform(gated, lambda r: F.struct(r.alias("r"), F.regexp_extract_all(words, r["regex"], F.lit(0)).alias("m"))), lambda x: F.size(x["m"]) > 0)
+
+def detections(words: str, rules: list[Rule] = RULES) -> Column:
+    """Array of (first, past, label, priority, keep) in a column of spaced text, suppressed ones gone, in order of place."""
+    found = _matching(words, [(r.keyword, r.regex, f"named_struct('priority', {r.priority}, 'rule', {i}, 'label', '{r.label}')") for i, r in enumerate(rules)])
     hits = F.flatten(
         F.transform(
             found,
             lambda f: F.transform(
-                places(words, f["r"]["regex"], f["m"]),
-                lambda x: F.struct(x["first"].alias("first"), (-x["past"]).alias("back"), f["r"]["priority"].alias("priority"), f["r"]["rule"].alias("rule"), f["r"]["label"].alias("label")),
+                places(f["text"]),
+                lambda x: F.struct(x["first"].alias("first"), (-x["past"]).alias("back"), f["about"]["priority"].alias("priority"), f["about"]["rule"].alias("rule"), f["about"]["label"].alias("label")),
             ),
         )
     )
-    ordered = F.array_sort(hits)
-    levels = sorted({r.priority for r in rules})
+    return let(F.array_sort(hits), lambda ordered: _unsuppressed(ordered, sorted({r.priority for r in rules})))
+
+
+def _unsuppressed(ordered: Column, levels: list[int]) -> Column:
     name = [f"p{p}" for p in levels]
     zero = F.struct(*[F.lit(0).alias(n) for n in name])
     step = lambda s, x: F.struct(*[F.when(x["priority"] == p, F.greatest(s[n], -x["back"])).otherwise(s[n]).alias(n) for n, p in zip(name, levels, strict=True)])
     inside = lambda s, x: F.greatest(*[F.when(F.lit(p) <= x["priority"], s[n]).otherwise(0) for n, p in zip(name, levels, strict=True)], F.lit(0)) < -x["back"]
     flags = scan(ordered, zero, step, inside, "boolean")
-    marked = F.zip_with(ordered, flags, lambda x, keep: F.struct(x["first"].alias("first"), (-x["back"]).alias("past"), x["label"].alias("label"), x["priority"].alias("priority"), keep.alias("keep")))
-    return F.filter(marked, lambda x: x["keep"])
+    both = F.zip_with(ordered, flags, lambda x, keep: F.struct(x["first"].alias("first"), (-x["back"]).alias("past"), x["label"].alias("label"), x["priority"].alias("priority"), keep.alias("keep")))
+    return F.filter(both, lambda x: x["keep"])
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -269,14 +297,14 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     for root in ROOTS:
         rooted = rooted | F.contains(words, F.lit(root))
     base_kinds = "array<struct<first:int,past:int,label:string>>"
-    every = F.array(*[F.struct(F.lit(rf"(?<![^ ]){p}(?![^ ])").alias("regex"), F.lit(x).alias("label"), F.lit(p).alias("phrase")) for p, x in BASE.items()])
-    base_hits = F.flatten(F.transform(F.filter(every, lambda r: F.contains(words, r["phrase"])), lambda r: F.transform(places(words, r["regex"], F.regexp_extract_all(words, r["regex"], F.lit(0))), lambda x: F.struct(x["first"].alias("first"), x["past"].alias("past"), r["label"].alias("label")))))
+    every = _matching("_w", [(p, rf"(?<![^ ]){p}(?![^ ])", f"'{x}'") for p, x in BASE.items()])
+    base_hits = F.flatten(F.transform(every, lambda r: F.transform(places(r["text"]), lambda x: F.struct(x["first"].alias("first"), x["past"].alias("past"), r["about"].alias("label")))))
     all_kinds = "array<struct<first:int,past:int,label:string,priority:int,keep:boolean>>"
     rows = rows.select(
         "doc_id",
         F.when(words == "", 0).otherwise(_spaces(words) + 1).cast("long").alias("n_words"),
         F.when(base, base_hits).otherwise(F.array().cast(base_kinds)).alias("_base"),
-        F.when(rooted, detections(words)).otherwise(F.array().cast(all_kinds)).alias("found"),
+        F.when(rooted, detections("_w")).otherwise(F.array().cast(all_kinds)).alias("found"),
     )
     labels = lambda c: F.array_sort(F.array_distinct(F.transform(c, lambda x: x["label"])))
     weight = F.greatest(*[F.when(F.array_contains(F.transform("found", lambda x: x["priority"]), F.lit(p)), F.lit(w)).otherwise(0.0) for p, w in enumerate(WEIGHTS)], F.when(F.size("_base") > 0, F.lit(WEIGHTS[2])).otherwise(0.0))
