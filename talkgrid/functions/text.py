@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -14,6 +15,11 @@ FILLERS = ("е", "ее", "еее", "ееее", "эм", "ем", "мм", "ммм",
 _SPACE = r"(?U)[\s\x{1c}-\x{1f}]+"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once for a row: as a lambda's variable, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def flatten_space(text: Column) -> Column:
     """Every run of white space made one space, ends trimmed."""
     return F.trim(F.regexp_replace(text, _SPACE, " "))
@@ -27,13 +33,17 @@ def normalize_text(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Normalised tokens without fillers, in order."""
-    return F.filter(F.split(normalize_text(text), " "), lambda t: (t != "") & ~t.isin(*FILLERS))
+    return tokens_of(normalize_text(text))
+
+
+def tokens_of(norm: Column) -> Column:
+    """tokens() of a text that is normalised already."""
+    return F.filter(F.split(norm, " "), lambda t: (t != "") & ~t.isin(*FILLERS))
 
 
 def containment_of(a: Column, b: Column) -> Column:
     """Share of the distinct tokens of array a that are in array b; 1 if a has none. Not symmetric."""
-    own = F.array_distinct(a)
-    return F.when(F.size(own) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(own, b)) / F.size(own))
+    return let(F.array_distinct(a), lambda own: F.when(F.size(own) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(own, b)) / F.size(own)))
 
 
 def token_containment(a: Column, b: Column) -> Column:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talkgrid.functions.text import normalize_text, token_containment
+from talkgrid.functions.text import containment_of, let, normalize_text, token_containment, tokens_of
 
 DIVERGENCE, LOW_CONFIDENCE, MISHEARD = "divergence", "low_confidence", "misheard_match"
 #: What to look at first; reasons not listed come last.
@@ -46,46 +47,48 @@ def misheard_index(glossary: DataFrame) -> DataFrame:
     return found.select(F.col("_first").alias("pos"), "heard", "canonical")
 
 
-def find_misheard(df: DataFrame, text: str, index: DataFrame, out: str, id_cols: list[str], most_literal: int = 2000) -> DataFrame:
-    """`df` with `out`, the canonical form of the first mishearing whose normalised form is part of the
-    normalised text, else null. A dictionary of up to `most_literal` entries becomes an array literal that
-    Spark filters in place; a larger one is held against the texts by a range of nested-loop pairs."""
-    known = index.withColumn("norm", normalize_text(F.col("heard"))).orderBy("pos").limit(most_literal + 1).collect()
-    if len(known) <= most_literal:
-        if not known:
-            return df.withColumn(out, F.lit(None).cast("string"))
-        table = F.array(*[F.struct(F.lit(r["norm"]).alias("norm"), F.lit(r["canonical"]).alias("canonical")) for r in known])
-        norm = normalize_text(F.coalesce(F.col(text), F.lit("")))
-        # as an outer lambda's variable the text is normalised once, not for every entry
-        hit = F.transform(F.array(norm), lambda n: F.get(F.filter(table, lambda m: F.contains(n, m["norm"])), F.lit(0))["canonical"])
-        return df.withColumn(out, F.get(hit, F.lit(0)))
-    entries = index.withColumn("norm", normalize_text(F.col("heard")))
-    # ids may be null or repeated: rows meet their answers by id and text
-    keyed = df.withColumn("_text", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
-    keys = [*id_cols, "_text"]
-    texts = keyed.select(*keys, normalize_text(F.coalesce(F.col(text), F.lit(""))).alias("_n"))
-    hits = texts.join(entries, F.contains(F.col("_n"), F.col("norm"))).groupBy(*keys).agg(F.min(F.struct("pos", "canonical"))["canonical"].alias(out))
-    hits = hits.select(out, *[F.col(c).alias(f"_hit{i}") for i, c in enumerate(keys)])
-    met = [F.col(c).eqNullSafe(F.col(f"_hit{i}")) for i, c in enumerate(keys)]
-    return keyed.join(hits, met, "left").drop("_text", *[f"_hit{i}" for i in range(len(keys))])
+#: Entries of a dictionary that make one array literal.
+CHUNK = 2000
+
+
+def misheard_lookup(index: DataFrame) -> Callable[[Column], Column]:
+    """A function of a normalised text: the canonical form of the first mishearing whose normalised form is part of
+    it, else null. The dictionary, which people write, becomes array literals of CHUNK entries that are tried in
+    order, row by row: no join, and the same answer at every size."""
+    known = index.withColumn("norm", normalize_text(F.col("heard"))).orderBy("pos").select("norm", "canonical").collect()
+    chunks = [F.array(*[F.struct(F.lit(r["norm"]).alias("norm"), F.lit(r["canonical"]).alias("canonical")) for r in known[i : i + CHUNK]]) for i in range(0, len(known), CHUNK)]
+    if not chunks:
+        return lambda norm: F.lit(None).cast("string")
+    return lambda norm: F.coalesce(*[F.get(F.filter(c, lambda m: F.contains(norm, m["norm"])), F.lit(0))["canonical"] for c in chunks])
+
+
+def find_misheard(df: DataFrame, text: str, index: DataFrame, out: str) -> DataFrame:
+    """`df` with `out`, what misheard_lookup finds in the text (null counts as empty), which is normalised once."""
+    return df.withColumn(out, let(normalize_text(F.coalesce(F.col(text), F.lit(""))), misheard_lookup(index)))
 
 
 def flag_segments(segments: DataFrame, index: DataFrame | None, with_captions: bool, t: Thresholds = Thresholds(), keep_all: bool = False) -> DataFrame:
     """Segments with `reasons`, in a fixed order, and `suggestion`. Needs caption_text if with_captions. Rows
-    without a reason go unless keep_all."""
-    ids = ["recording_id", "seg_idx"]
+    without a reason go unless keep_all. Both texts are normalised once for a row: what is made of them is a lambda
+    over the two, and rows without a reason go as empty arrays, as a filter would compute everything again."""
     rows = segments if with_captions else segments.withColumn("caption_text", F.lit(""))
-    if index is None:
-        rows = rows.withColumn("suggestion", F.lit(None).cast("string"))
-    else:
-        rows = find_misheard(rows, "text", index, "_own", ids)
-        rows = find_misheard(rows, "caption_text", index, "_cap", ids) if with_captions else rows.withColumn("_cap", F.lit(None).cast("string"))
-        rows = rows.withColumn("suggestion", F.coalesce("_own", "_cap")).drop("_own", "_cap")
-    divergent = is_divergent(F.col("text"), F.col("caption_text"), t) if with_captions else F.lit(False)
+    lookup = misheard_lookup(index) if index is not None else lambda norm: F.lit(None).cast("string")
     unsure = F.coalesce(is_unsure(F.col("words"), F.col("avg_logprob"), t), F.lit(False))
-    reasons = F.array_compact(F.array(F.when(divergent, DIVERGENCE), F.when(unsure, LOW_CONFIDENCE), F.when(F.col("suggestion").isNotNull(), MISHEARD)))
-    out = rows.withColumn("reasons", reasons)
-    return out if keep_all else out.where(F.size("reasons") > 0)
+    norms = F.struct(*[F.coalesce(normalize_text(F.col(c)), F.lit("")).alias(n) for c, n in (("text", "own"), ("caption_text", "cap"))], (F.col("text").isNotNull() & F.col("caption_text").isNotNull()).alias("both"))
+
+    def judged(n: Column) -> Column:
+        share = containment_of(tokens_of(n["own"]), tokens_of(n["cap"]))
+        divergent = n["both"] & (share < t.divergence_max) if with_captions else F.lit(False)
+        suggestion = F.coalesce(lookup(n["own"]), lookup(n["cap"])) if with_captions else lookup(n["own"])
+        return F.struct(divergent.alias("divergent"), suggestion.alias("suggestion"))
+
+    def named(x: Column) -> Column:
+        reasons = F.array_compact(F.array(F.when(x["divergent"], DIVERGENCE), F.when(unsure, LOW_CONFIDENCE), F.when(x["suggestion"].isNotNull(), MISHEARD)))
+        return F.struct(x["suggestion"].alias("suggestion"), reasons.alias("reasons"))
+
+    found = F.transform(F.transform(F.array(norms), judged), named)
+    kept = found if keep_all else F.filter(found, lambda x: F.size(x["reasons"]) > 0)
+    return rows.select("*", F.inline(kept))
 
 
 def sweep(segments: DataFrame, index: DataFrame | None, with_captions: bool, settings: list[Thresholds]) -> DataFrame:

@@ -158,7 +158,8 @@ def token_counts(spark, sf_dir):
     return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"))
 
 
-PAIRED = "SELECT d.doc_id, d.text, b.text AS caption FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40"
+PAIRED = """SELECT d.doc_id, d.text, b.caption FROM (SELECT *, (doc_id % n + n) % n AS place FROM documents, (SELECT greatest(count(*), 1) AS n FROM benchmark)) d
+LEFT JOIN (SELECT text AS caption, row_number() OVER (ORDER BY item_id, text) - 1 AS place FROM benchmark) b ON b.place = d.place"""
 
 
 def _paired(spark, sf_dir):
@@ -178,7 +179,7 @@ def token_containment(spark, sf_dir):
     return _paired(spark, sf_dir).select("doc_id", text.token_containment(F.col("caption_text"), F.col("text")).alias("containment"))
 
 
-DICTIONARY = f"k AS (SELECT item_id, array_to_string(list_slice(string_split({FLAT.format('text')}, ' '), 1, 2), ' ') AS norm, 'item ' || CAST(item_id AS VARCHAR) AS canonical FROM benchmark WHERE item_id < 40)"
+DICTIONARY = f"k AS (SELECT item_id, array_to_string(list_slice(string_split({FLAT.format('text')}, ' '), 1, 2), ' ') AS norm, 'item ' || CAST(item_id AS VARCHAR) AS canonical FROM benchmark)"
 
 
 def _dictionary(spark, sf_dir):
@@ -193,7 +194,7 @@ INDEX = "x AS (SELECT norm, min(item_id) AS pos, arg_max(canonical, item_id) AS
 @register(f"WITH {DICTIONARY}, {INDEX}, m AS (SELECT doc_id, arg_min(canonical, pos) AS suggestion FROM (SELECT doc_id, {FLAT.format('text')} AS n FROM documents) d JOIN x ON contains(d.n, x.norm) GROUP BY 1) SELECT d.doc_id, m.suggestion FROM documents d LEFT JOIN m USING (doc_id)")
 def misheard_lookup(spark, sf_dir):
     index = flags.misheard_index(_dictionary(spark, sf_dir))
-    return flags.find_misheard(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text", index, "suggestion", ["doc_id"]).select("doc_id", "suggestion")
+    return flags.find_misheard(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text", index, "suggestion").select("doc_id", "suggestion")
 
 
 @register(f"WITH {DICTIONARY}, {INDEX} SELECT norm AS heard, canonical FROM x")

@@ -5,7 +5,6 @@ from html import escape
 
 import pytest
 
-import corpus_pipeline
 from talkgrid import queries
 
 
@@ -37,7 +36,7 @@ def plain_suggestion(text, items):
     return next((names[-1] for h, names in heard.items() if h in (text or "")), None)
 
 
-@pytest.mark.parametrize("n", [75, 2100])  # as a literal, and as a join
+@pytest.mark.parametrize("n", [75, 2100])  # as one literal, and as two
 def test_misheard_dictionary_has_every_item(spark, tmp_path, n):
     items = [(i, f"head{i % (n - 5)} tail rest of item {i}") for i in range(n)]
     docs = [(0, "says head3 tail"), (1, f"head{n - 6} tail and head50 tail"), (2, "nothing"), (None, "head60 tail"), (None, "head41 tail"), (None, None), (3, "head70 tail"), (3, "head44 tail")]
@@ -65,12 +64,3 @@ def test_every_item_and_every_document_is_paired(spark, tmp_path):
     assert n["misheard_match"] == 182
     # here it is the text's tokens that are looked for in the caption
     assert n["divergence"] == sum(len(set(t.split()) & set(caption(i).split())) / len(set(t.split())) < 0.5 for i, t in docs if i is not None)
-
-
-def test_decontamination_judges_each_row_by_its_text(spark, tmp_path):
-    leak = "one two three four five six seven eight nine ten eleven"
-    docs = [(None, f"before {leak} after"), (None, "clean text"), (None, None), (1, leak), (1, "clean text that shares an id"), (2, "clean")]
-    folder = write(spark, tmp_path, docs, [(0, leak)])
-    kept = corpus_pipeline.benchmark_decontamination(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
-    assert kept.columns == ["doc_id", "text"]
-    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, (d for d in docs if leak not in (d[1] or ""))))
