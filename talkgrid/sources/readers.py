@@ -132,7 +132,10 @@ def load_glossary(path: str | Path) -> list[Entry]:
     for t in data["terms"]:
         if not isinstance(t, dict) or not t.get("canonical"):
             raise DictionaryError(f"{path}: a term without canonical")
-        entries.append(Entry(str(t["canonical"]), str(t.get("category")), t.get("note"), [str(m) for m in t.get("misheard") or []]))
+        heard = t.get("misheard") or []
+        if not isinstance(heard, list):
+            raise DictionaryError(f"{path}: misheard of {t['canonical']!r} is no list")
+        entries.append(Entry(str(t["canonical"]), str(t.get("category") or "term"), t.get("note"), [str(m) for m in heard]))
     try:
         check(entries)
     except DictionaryError as e:
