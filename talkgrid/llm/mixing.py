@@ -7,8 +7,9 @@ evaluates a whole row of probes, so no list of sources reaches the driver.
 
 A source's weight times the budget is its budget of tokens: whole passes over the source, and for the rest
 a prefix of a permutation. Documents are dealt into blocks by a hash, blocks are ordered by a hash, and
-blocks are taken whole until one exceeds the budget; only that block's documents are put in order. So no
-source is sorted as a whole.
+blocks are taken whole until one exceeds the budget; only that block's documents are put in order. A source of
+n tokens has about the square root of n blocks of as many tokens each: so no source is sorted as a whole, and
+what one task orders, blocks or documents, grows with that root alone.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql.window import Window
 
 from talkgrid.llm.common import stored
 
-GRID, PROBES, BLOCK_TOKENS, MOST_BLOCKS, SEED = 4096, 16, 20_000, 4096, "mix"
+GRID, PROBES, SEED = 4096, 16, "mix"
 
 
 def n_tokens(text: Column) -> Column:
@@ -63,7 +64,7 @@ def exponent(sources: DataFrame, budget: float, entropy: float, repeats: float)
     return tempered / GRID
 
 
-def mixture(docs: DataFrame, budget: float = 1.0, entropy: float = 0.97, repeats: float = 4.0, seed: str = SEED, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def mixture(docs: DataFrame, budget: float = 1.0, entropy: float = 0.97, repeats: float = 4.0, seed: str = SEED) -> DataFrame:
     """One row per chosen copy: doc_id, source, n_tokens, epoch, weight, block_rank, place.
 
     `budget` is in passes over the whole table. A source with weight w gets floor(w * budget * tokens)
@@ -83,12 +84,12 @@ def mixture(docs: DataFrame, budget: float = 1.0, entropy: float = 0.97, repeats
     norm = sources.agg(F.sum(power)).first()[0] or 1.0
     plan = sources.withColumn("weight", power / F.lit(norm)).withColumn("_due", F.floor(F.col("weight") * F.lit(float(budget * total)) + F.lit(1e-6)))
     plan = plan.withColumn("_whole", F.floor(F.col("_due") / F.col("tokens"))).withColumn("_rest", F.col("_due") - F.col("_whole") * F.col("tokens"))
-    plan = plan.withColumn("_blocks", F.least(F.lit(MOST_BLOCKS), F.ceil(F.col("tokens") / block_tokens)).cast("long"))
+    plan = plan.withColumn("_blocks", F.ceil(F.sqrt(F.col("tokens").cast("double"))).cast("long"))
     own = F.col("l.source").eqNullSafe(F.col("r.source"))
     key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     dealt = slim.alias("l").join(plan.alias("r"), own).select("l.*", "r.weight", "r._whole", "r._rest", "r._blocks").withColumn("place", key)
     dealt = dealt.withColumn("_block", F.conv(F.substring("place", 1, 8), 16, 10).cast("long") % F.col("_blocks"))
-    # blocks of a source, at most MOST_BLOCKS, in hashed order
+    # blocks of a source in hashed order
     sized = dealt.groupBy("source", "_block").agg(F.sum("n_tokens").alias("_size"), F.first("_rest").alias("_rest"))
     mark = F.md5(F.concat_ws("|", F.lit(seed), F.lit("block"), F.coalesce("source", F.lit("")), F.col("_block").cast("string")).cast("binary"))
     order = Window.partitionBy("source").orderBy(mark, "_block")

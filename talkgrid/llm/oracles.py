@@ -51,7 +51,7 @@ WITH d AS (SELECT doc_id, source, n FROM (SELECT doc_id, source, CAST(len(regexp
 s AS (SELECT source, CAST(sum(n) AS BIGINT) AS tok FROM d GROUP BY 1), g AS (SELECT CAST(sum(tok) AS DOUBLE) AS total, count(*) AS k, CAST(min(tok) AS DOUBLE) AS least FROM s),
 z AS (SELECT a, sum(pow(tok / total, a / 4096.0)) AS s0, sum(pow(tok / total, a / 4096.0) * ln(tok / total)) AS s1 FROM (SELECT unnest(range(4097)) AS a), s, g GROUP BY a),
 e AS (SELECT greatest(coalesce(max(a) FILTER (ln(s0) - a / 4096.0 * s1 / s0 >= 0.97 * ln(k) - 1e-9), 0), coalesce(min(a) FILTER (pow(least / total, a / 4096.0 - 1) / s0 <= 4.0 + 1e-9), 4096)) / 4096.0 AS alpha FROM z, g),
-w AS (SELECT source, tok, pow(tok / total, alpha) / (SELECT sum(pow(tok / total, alpha)) FROM s, g, e) AS weight, CAST(least(4096, ceil(tok / 20000)) AS BIGINT) AS blocks FROM s, g, e),
+w AS (SELECT source, tok, pow(tok / total, alpha) / (SELECT sum(pow(tok / total, alpha)) FROM s, g, e) AS weight, CAST(ceil(sqrt(CAST(tok AS DOUBLE))) AS BIGINT) AS blocks FROM s, g, e),
 p AS (SELECT *, CAST(floor(weight * total + 1e-6) AS BIGINT) AS due FROM w, g),
 q AS (SELECT source, tok, weight, blocks, due // tok AS whole, due - due // tok * tok AS rest FROM p),
 x AS (SELECT d.*, q.weight, q.whole, q.rest, md5('mix|' || CAST(doc_id AS VARCHAR)) AS place, q.blocks FROM d JOIN q USING (source)),

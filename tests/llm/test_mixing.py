@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from talkgrid.llm import mixing as m
 
 
-def brute(docs, budget=1.0, entropy=0.97, repeats=4.0, block_tokens=m.BLOCK_TOKENS):
+def brute(docs, budget=1.0, entropy=0.97, repeats=4.0):
     rows = [(i, s, len(runs(t))) for i, t, s in docs if runs(t)]
     size = Counter()
     for _, s, n in rows:
@@ -29,7 +29,7 @@ def brute(docs, budget=1.0, entropy=0.97, repeats=4.0, block_tokens=m.BLOCK_TOKE
     for s, w in weights(k).items():
         due = math.floor(w * budget * total + 1e-6)
         whole, rest = divmod(due, size[s])
-        blocks = min(m.MOST_BLOCKS, -(-size[s] // block_tokens))
+        blocks = math.ceil(math.sqrt(size[s]))
         dealt = defaultdict(list)
         for i, own, n in rows:
             if own == s:
@@ -54,7 +54,7 @@ def make(seed, sources, n):
 
 
 def test_mixture_matches_brute_force(spark):
-    for docs, kw in ((make(1, ["a"] * 9 + ["b", "c", None], 300), {}), (make(2, ["a"] * 40 + ["b", "c"], 400), {"repeats": 2.0, "entropy": 0.99}), (make(3, ["a", "b"], 200), {"budget": 2.5, "block_tokens": 100})):
+    for docs, kw in ((make(1, ["a"] * 9 + ["b", "c", None], 300), {}), (make(2, ["a"] * 40 + ["b", "c"], 400), {"repeats": 2.0, "entropy": 0.99}), (make(3, ["a", "b"], 200), {"budget": 2.5})):
         df = spark.createDataFrame([(i, t, "en", s, 1) for i, t, s in docs], DOCS).withColumns({"weight": F.lit("w"), "place": F.lit(1), "epoch": F.lit(2), "_n": F.lit(1)})
         got = m.mixture(df, **kw).collect()
         want, _ = brute(docs, **kw)
