@@ -3,8 +3,9 @@
 The perplexity model is a modified Kneser-Ney model over UTF-8 bytes, one for each language value.
 Spark counts every n-gram of every document (tasks merge their counts before the shuffle) and derives
 the continuation counts of lower orders and the discounts. The model is kept as sorted hash arrays, in
-shards of at most about `SHARD` top-order entries, dealt by the byte before the predicted one: all orders
-that one prediction needs then lie in one shard. A model of one shard, the usual case, is scored in one
+shards of about `SHARD` top-order entries, dealt by language and the byte before the predicted one: all orders
+that one prediction needs then lie in one shard. (One byte of one language is the smallest shard: byte 5-grams
+of a language level off, as its words do, so that too is bounded by the language and not by the corpus.) A model of one shard, the usual case, is scored in one
 pass; with more, each shard is a pass that scores its own positions. So what a task holds is bounded.
 
 The corpus holds the document that is scored, so an n-gram seen once is that document's own: it is scored
@@ -232,13 +233,14 @@ class KneserNey:
             for lang, c, k in t.where("n < 5").groupBy(F.shiftright("code", 40).alias("lang"), "n").agg(F.count("*").alias("k")).collect():
                 self.counts_of_counts[n, lang, c] = k
         self.entries = self.tables[ORDER].count()
-        self.shards = max(1, min(256, math.ceil(self.entries / shard)))
+        deals = self.tables[2].select(F.shiftright("code", 8)).distinct().count()
+        self.shards = max(1, min(deals, math.ceil(self.entries / shard)))
 
     def part(self, s: int, own: bool = True) -> Model:
         tables = {}
         for n, t in self.tables.items():
             if self.shards > 1 and n > 1:
-                t = t.where(F.shiftright("code", 8).bitwiseAND(255) % self.shards == s)
+                t = t.where((F.shiftright("code", 40) * 257 + F.shiftright("code", 8).bitwiseAND(255)) % self.shards == s)
             got = t.toArrow()
             tables[n] = got.column("code").to_numpy(), got.column("n").to_numpy()
         return Model(tables, self.counts_of_counts, own)
@@ -258,7 +260,7 @@ def _scored(model, shards: int, s: int, rules: bool):
                 codes = ngram_codes(data[offsets[i] : offsets[j]], at, codes_of[i:j])
                 if shards > 1:
                     value = np.zeros(len(codes))
-                    own = np.flatnonzero((codes >> 8 & 255) % shards == s)
+                    own = np.flatnonzero(((codes >> 40) * 257 + (codes >> 8 & 255)) % shards == s)
                     value[own] = model.value(codes[own])
                 else:
                     value = model.value(codes)
