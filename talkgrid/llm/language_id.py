@@ -2,7 +2,7 @@
 
 The network is trained in numpy by backpropagation through time on a bounded, documented sample: at most
 `SAMPLE` rows of each language, one passage of at most `PASSAGE` characters of each, from the learning
-fold only. It labels every byte position; a document's probabilities are the mean over its letters.
+fold only, and `MOST_ROWS` rows (200 MB of text) in all. It labels every byte position; a document's probabilities are the mean over its letters.
 Whole texts are scored, cut into stretches of `STRETCH` bytes that see `MARGIN` bytes on either side.
 """
 
@@ -20,6 +20,7 @@ from talkgrid.llm.bigru import Adam, Params, scan, scan_back, softmax
 from talkgrid.llm.common import held_out, in_slices, text_bytes
 
 HIDDEN, STRETCH, MARGIN, SAMPLE, PASSAGE = 8, 192, 16, 400, 2000
+MOST_ROWS = 100_000
 STEPS, BATCH, LENGTH = 260, 192, 64
 
 _LETTER = np.array([65 <= c <= 90 or 97 <= c <= 122 or c >= 128 for c in range(256)])
@@ -168,11 +169,14 @@ def sample_by(df: DataFrame, label: str, rows: int, seed: int = 11) -> DataFrame
 
 
 def learn(docs: DataFrame, rows: int = SAMPLE, seed: int = 5) -> tuple[Params, list[str]]:
-    """A network from the learning fold's rows with a language and a text. The 1,000 commonest language
-    values are learned, from about `rows` rows each."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
+    """A network from the learning fold's rows with an id, a language and a text. The 1,000 commonest language
+    values are learned, from about `rows` rows each, MOST_ROWS in all. Rows that share an id are one draw: equal
+    ones count once, and all in all no more than twice the rows wanted are taken."""
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    n_langs = min(1000, known.select("lang").distinct().count())
+    rows = max(1, min(rows, MOST_ROWS // max(1, n_langs)))
     start = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.greatest(F.lit(1), F.length("text") - PASSAGE)) + 1
-    found = sample_by(known.select("doc_id", "text", "lang"), "lang", rows).select("doc_id", "lang", F.col("text").substr(start.cast("int"), F.lit(PASSAGE)).alias("text")).toPandas()
+    found = sample_by(known.select("doc_id", "text", "lang"), "lang", rows).select("doc_id", "lang", F.col("text").substr(start.cast("int"), F.lit(PASSAGE)).alias("text")).distinct().orderBy(F.xxhash64("doc_id", "lang", "text")).limit(2 * rows * max(1, n_langs)).toPandas()
     found = found.sort_values(["doc_id", "lang", "text"], na_position="first")
     langs = sorted(found["lang"].unique())
     number = {x: i for i, x in enumerate(langs)}
