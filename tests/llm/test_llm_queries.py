@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 import corpus_pipeline  # noqa: E402
 
-from talkgrid.llm import queries  # noqa: E402
+from talkgrid.llm import queries, stages  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 TABLES = "documents embeddings pages benchmark labels conversations".split()
@@ -66,3 +66,14 @@ def test_pipeline_stages_take_odd_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() > 0
         stage(spark, docs.limit(0), SF).count()
+
+
+def test_decontamination_judges_each_row_by_its_text(spark, tmp_path):
+    leak = "one two three four five six seven eight nine ten eleven"
+    docs = [(None, f"before {leak} after"), (None, "clean text"), (None, None), (1, leak), (1, "clean text that shares an id"), (2, "clean")]
+    folder = str(tmp_path)
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(0, leak)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    kept = stages.benchmark_decontamination(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+    assert kept.columns == ["doc_id", "text"]
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, (d for d in docs if leak not in (d[1] or ""))))
