@@ -49,27 +49,50 @@ def speaker_tile(tiles: Column) -> Column:
     return F.when(F.size(tiles) == 1, F.get(tiles, F.lit(0)))
 
 
+def _margins(peaks: np.ndarray, dark: float) -> tuple[int, int] | None:
+    """How many leading and trailing values aren't over `dark`; None if none of them is."""
+    lit = peaks > dark
+    return (int(lit.argmax()), int(lit[::-1].argmax())) if lit.any() else None
+
+
+def _grey(frame: np.ndarray) -> np.ndarray:
+    return frame if frame.ndim == 2 else frame.mean(axis=2)
+
+
 def lit_area(frame: np.ndarray, dark: float = 16) -> tuple[int, int, int, int]:
-    """x, y, w, h of what is brighter than `dark`; the whole frame if nothing is."""
-    light = (frame.mean(axis=2) if frame.ndim == 3 else frame) > dark
-    x, y = np.flatnonzero(light.any(axis=0)), np.flatnonzero(light.any(axis=1))
-    if not len(x):
-        return 0, 0, light.shape[1], light.shape[0]
-    return int(x[0]), int(y[0]), int(x[-1] - x[0] + 1), int(y[-1] - y[0] + 1)
+    """x, y, w, h of what is left when dark margins are cut off; the whole frame if all of it is dark."""
+    grey = _grey(frame)
+    high, wide = grey.shape
+    left, right = _margins(grey.max(axis=0), dark) or (0, 0)
+    above, below = _margins(grey.max(axis=1), dark) or (0, 0)
+    return left, above, wide - left - right, high - above - below
 
 
-def has_side_bars(frame: np.ndarray, share: float = 0.10, dark: float = 20) -> bool:
-    """Does the frame have dark bars of `share` of its width or more on both sides of its lit area?"""
-    x, _, w, _ = lit_area(frame)
-    wide, least = frame.shape[1], int(frame.shape[1] * share)
-    sides = frame[:, :x], frame[:, x + w :]
-    return x >= least and wide - x - w >= least and all(s.size and float(s.mean()) < dark for s in sides)
+def has_side_bars(frame: np.ndarray, share: float = 0.10, dark: float = 16) -> bool:
+    """Are both side margins dark over `share` of the frame's width or more, around something that is lit?"""
+    margins = _margins(_grey(frame).max(axis=0), dark)
+    return margins is not None and min(margins) >= max(1, int(frame.shape[1] * share))
 
 
 def box_smooth(signal: np.ndarray, window: int) -> np.ndarray:
-    """Moving average over at least three samples."""
-    window = max(3, window)
-    return np.convolve(signal, np.full(window, 1 / window), mode="same")
+    """Mean over `window` samples around each, three at least; what lies past an end counts as 0."""
+    n, at = max(3, window), np.arange(len(signal))
+    total = np.concatenate([[0.0], np.cumsum(signal, dtype=np.float64)])
+    return (total[np.minimum(at + (n + 1) // 2, len(signal))] - total[np.maximum(at - n // 2, 0)]) / n
+
+
+# Shares of red, green and blue in luminance; the least luminance of a name label's letters.
+LUMA, WHITE = (0.299, 0.587, 0.114), 170
+
+
+def white_text(crop: np.ndarray, least: float = WHITE) -> np.ndarray:
+    """Label letters alone, for a reader of text: 255 where a picture (blue, green, red) is brighter than `least`,
+    or lies in a gap of one pixel between such, and 0 elsewhere, in three equal channels."""
+    light = np.pad(crop[..., ::-1] @ np.array(LUMA) > least, 1)
+    across = light[1:-1, :-2] & light[1:-1, 2:]
+    down = light[:-2, 1:-1] & light[2:, 1:-1]
+    found = light[1:-1, 1:-1] | across | down
+    return np.repeat((found * np.uint8(255))[..., None], 3, axis=2)
 
 
 def is_audible(samples: np.ndarray, least: float = 0.001) -> bool:

@@ -51,20 +51,20 @@ def misheard_index(glossary: DataFrame) -> DataFrame:
 CHUNK = 2000
 
 
-def misheard_lookup(index: DataFrame) -> Callable[[Column], Column]:
+def misheard_lookup(index: DataFrame, chunk: int = CHUNK) -> Callable[[Column], Column]:
     """A function of a normalised text: the canonical form of the first mishearing whose normalised form is part of
-    it, else null. The dictionary, which people write, becomes array literals of CHUNK entries that are tried in
+    it, else null. The dictionary, which people write, becomes array literals of `chunk` entries that are tried in
     order, row by row: no join, and the same answer at every size."""
     known = index.withColumn("norm", normalize_text(F.col("heard"))).orderBy("pos").select("norm", "canonical").collect()
-    chunks = [F.array(*[F.struct(F.lit(r["norm"]).alias("norm"), F.lit(r["canonical"]).alias("canonical")) for r in known[i : i + CHUNK]]) for i in range(0, len(known), CHUNK)]
+    chunks = [F.array(*[F.struct(F.lit(r["norm"]).alias("norm"), F.lit(r["canonical"]).alias("canonical")) for r in known[i : i + chunk]]) for i in range(0, len(known), chunk)]
     if not chunks:
         return lambda norm: F.lit(None).cast("string")
     return lambda norm: F.coalesce(*[F.get(F.filter(c, lambda m: F.contains(norm, m["norm"])), F.lit(0))["canonical"] for c in chunks])
 
 
-def find_misheard(df: DataFrame, text: str, index: DataFrame, out: str) -> DataFrame:
+def find_misheard(df: DataFrame, text: str, index: DataFrame, out: str, chunk: int = CHUNK) -> DataFrame:
     """`df` with `out`, what misheard_lookup finds in the text (null counts as empty), which is normalised once."""
-    return df.withColumn(out, let(normalize_text(F.coalesce(F.col(text), F.lit(""))), misheard_lookup(index)))
+    return df.withColumn(out, let(normalize_text(F.coalesce(F.col(text), F.lit(""))), misheard_lookup(index, chunk)))
 
 
 def flag_segments(segments: DataFrame, index: DataFrame | None, with_captions: bool, t: Thresholds = Thresholds(), keep_all: bool = False) -> DataFrame:

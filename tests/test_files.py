@@ -77,6 +77,14 @@ def test_yaml_and_lists(spark, folder):
         readers.parse_choice("CPU", ["cpu"])
 
 
+def test_glossary_defaults_and_lists(tmp_path):
+    (tmp_path / "g.yaml").write_text("terms:\n- canonical: Ann\n")
+    assert [(e.category, e.misheard) for e in readers.load_glossary(tmp_path / "g.yaml")] == [("term", [])]
+    (tmp_path / "bad.yaml").write_text("terms:\n- canonical: Ann\n  misheard: an\n")
+    with pytest.raises(TalkgridError):
+        readers.load_glossary(tmp_path / "bad.yaml")
+
+
 def test_glossary_merge_keeps_comments(folder):
     (folder / "c.yaml").write_text('corrections:\n  - canonical: "Kubernetes"\n    heard: "cooper netes"\n  - canonical: Ann\n    heard: anne\n  - canonical: Zed\n    heard: zet\n  - {canonical: New, heard: knew, category: term}\n')
     done = merge_file(folder / "g.yaml", folder / "c.yaml")
@@ -184,6 +192,14 @@ def test_geometry():
     f = np.zeros((40, 100, 3))
     f[5:20, 30:60] = 200
     assert geometry.lit_area(f) == (30, 5, 30, 15) and geometry.has_side_bars(f) and geometry.lit_area(np.zeros((4, 6))) == (0, 0, 6, 4)
+    assert not geometry.has_side_bars(f[:, 30:]) and not geometry.has_side_bars(np.zeros((4, 6)))
+    x = np.random.default_rng(1).random(40)
+    for n in (1, 4, 7):
+        assert np.allclose(geometry.box_smooth(x, n), np.convolve(x, np.full(max(3, n), 1 / max(3, n)), mode="same"))
+    crop = np.zeros((5, 6, 3))
+    crop[2, [1, 3]], crop[0, 5] = 255, (255, 0, 0)  # a gap of one pixel; blue is not bright
+    white = geometry.white_text(crop)
+    assert white.shape == crop.shape and [tuple(map(int, p)) for p in np.argwhere(white[..., 0])] == [(2, 1), (2, 2), (2, 3)]
     assert not geometry.is_audible(np.zeros(9)) and geometry.is_audible(np.full(9, 0.1)) and not geometry.is_audible(np.zeros(0))
 
 
