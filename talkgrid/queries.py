@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from talkgrid.functions import fuzzy, geometry, text
 from talkgrid.operators import flags, glossary, intervals, ranking, spans, votes
+from talkgrid.plans import review
 from talkgrid.sources import readers, writers
 from talkgrid.streaming.sessions import span_sessions
 
@@ -441,7 +442,9 @@ def named_vtt(spark, sf_dir):
     return writers.named_vtt(c, c.select("recording_id").distinct().withColumn("header", F.lit("WEBVTT")))
 
 
-@register()
+@register("""WITH s AS (SELECT doc_id, '{"start":' || CAST(CAST(doc_id % 97 AS DOUBLE) AS VARCHAR) || ',"end":' || CAST(doc_id % 97 + CAST(3.5 AS DOUBLE) AS VARCHAR) || ',"meet_text":"a","asr_text":"b","reasons":['
+|| array_to_string(list_filter([CASE WHEN doc_id % 3 = 0 THEN '"low_confidence"' END, CASE WHEN quality = 0 THEN '"divergence"' END, CASE WHEN toxic = 1 THEN '"misheard_match"' END], lambda x: x IS NOT NULL), ',') || '],"suggestion":null}' AS j FROM labels)
+SELECT doc_id % 5 AS recording_id, '{"spans":[' || string_agg(j, ',' ORDER BY doc_id) || ']}' AS document FROM s GROUP BY 1""")
 def flags_json(spark, sf_dir):
     s = _spans(spark, sf_dir).withColumns({"caption_text": F.lit("a"), "asr_text": F.lit("b"), "suggestion": F.lit(None).cast("string")})
     return writers.flags_json(s)
@@ -471,3 +474,74 @@ def fuzzy_vote(spark, sf_dir):
 @register()
 def token_diff(spark, sf_dir):
     return _paired(spark, sf_dir).select("doc_id", fuzzy.token_diff(F.col("caption_text"), F.col("text")).alias("d")).select("doc_id", "d.left", "d.right")
+
+
+@register("""WITH t AS (SELECT event_id AS i, (event_id % 8) / 8.0 AS ax, (event_id % 4) / 8.0 AS ay, (event_id % 5) / 8.0 AS aw, (event_id % 3) / 8.0 AS ah, (event_id % 7) / 8.0 AS bx, (event_id % 6) / 8.0 AS byy, (event_id % 9) / 8.0 AS bw, (event_id % 2) / 8.0 AS bh FROM events),
+o AS (SELECT *, greatest(0, least(ax + aw, bx + bw) - greatest(ax, bx)) * greatest(0, least(ay + ah, byy + bh) - greatest(ay, byy)) AS both_of FROM t)
+SELECT i AS event_id, CASE WHEN aw * ah + bw * bh - both_of > 0 THEN CAST(both_of AS DOUBLE) / CAST(aw * ah + bw * bh - both_of AS DOUBLE) ELSE 0 END AS iou FROM o""")
+def box_overlap(spark, sf_dir):
+    box = lambda *n: F.struct(*[(F.col("event_id") % k / 8).alias(c) for c, k in zip("xywh", n, strict=True)])
+    return _table(spark, sf_dir, "events").select("event_id", geometry.iou(box(8, 4, 5, 3), box(7, 6, 9, 2)).alias("iou"))
+
+
+@register("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'unknown' WHEN 1 THEN CASE WHEN event_id % 3 = 0 OR event_id % 5 = 0 THEN 'full_frame' ELSE 'screen_share_pip' END ELSE 'gallery' END AS layout, CASE WHEN event_id % 4 = 1 THEN 'camera' END AS kind FROM events""")
+def tile_layouts(spark, sf_dir):
+    i = F.col("event_id")
+    side = F.when(i % 3 == 0, 1.0).otherwise(0.5)  # a high tile, or with i % 5 a large one, or a small one
+    tile = F.struct(F.lit("camera").alias("kind"), F.when(i % 5 == 0, 0.9).otherwise(0.25).alias("w"), F.greatest(side, F.when(i % 5 == 0, 0.75).otherwise(0.0)).alias("h"))
+    tiles = _table(spark, sf_dir, "events").select("event_id", F.array_repeat(tile, (i % 4).cast("int")).alias("t"))
+    return tiles.select("event_id", geometry.layout(F.col("t")).alias("layout"), geometry.speaker_tile(F.col("t"))["kind"].alias("kind"))
+
+
+NAMED = "SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN NULL WHEN c_custkey % 7 = 0 THEN 'Unknown' ELSE c_mktsegment END AS name FROM customer"
+
+
+@register(f"SELECT * FROM ({NAMED}) WHERE name IS NULL OR name NOT IN ('BUILDING', 'MACHINERY')")
+def cues_to_review(spark, sf_dir):
+    name = F.when(F.col("c_custkey") % 11 == 0, None).when(F.col("c_custkey") % 7 == 0, "Unknown").otherwise(F.col("c_mktsegment"))
+    return ranking.needs_review(_table(spark, sf_dir, "customer").select("c_custkey", name.alias("name")), glossary.candidates(["BUILDING"], ["MACHINERY"]))
+
+
+@register("SELECT c_custkey AS recording_id, i AS frame_idx, CAST(i * 2.5 + 1.25 AS DOUBLE) AS time FROM customer, unnest(generate_series(0, 9)) AS g(i) WHERE i * 2.5 <= c_custkey % 20 + 0.5 AND i * 2.5 + 1.25 <= c_custkey % 20 + 0.5")
+def grid_frame_times(spark, sf_dir):
+    videos = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("recording_id"), (F.col("c_custkey") % 20 + 0.5).cast("double").alias("duration"))
+    return spans.grid_times(videos, 2.5, 1.25).select("recording_id", F.col("frame_idx").cast("long").alias("frame_idx"), "time")
+
+
+@register("""WITH f AS (SELECT user_id, event_id, value AS l, value + 0.05 AS r, CASE WHEN event_id % 5 = 0 THEN '' ELSE 'w' || CAST(event_id % 10 AS VARCHAR) END AS text, (event_id % 4) / 4.0 AS p FROM events),
+w AS (SELECT *, max(r) OVER (PARTITION BY user_id ORDER BY l, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM f WHERE text <> ''),
+c AS (SELECT *, sum(CASE WHEN e IS NOT NULL AND l - e > 0.12 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY l, event_id) AS k FROM w),
+n AS (SELECT user_id, string_agg(text, ' ' ORDER BY l, event_id) AS text, CAST(sum(p) AS DOUBLE) / count(*) AS confidence FROM c WHERE k = 0 GROUP BY 1)
+SELECT u.user_id AS recording_id, coalesce(text, '') AS text, coalesce(confidence, 0) AS confidence FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN n ON n.user_id = u.user_id""")
+def frame_readings(spark, sf_dir):
+    i = F.col("event_id")
+    word = F.when(i % 5 == 0, "  ").otherwise(F.concat(F.lit(" w"), (i % 10).cast("string"), F.lit(" ")))
+    f = _table(spark, sf_dir, "events").select(F.col("user_id").alias("recording_id"), i.alias("frag_idx"), F.col("value").alias("left"), (F.col("value") + 0.05).alias("right"), word.alias("text"), (i % 4 / 4).alias("confidence"))
+    return spans.reading_of(f, ("recording_id",))
+
+
+@register("SELECT row_number() OVER (ORDER BY f, k) - 1 AS entry_idx, canonical, f AS file_idx FROM (SELECT 0 AS f, n_nationkey AS k, n_name AS canonical FROM nation UNION ALL SELECT 1, r_regionkey, r_name FROM region)")
+def glossary_union(spark, sf_dir):
+    parts = [_table(spark, sf_dir, t).select(F.col(f"{t[0]}_{t}key").cast("long").alias("entry_idx"), F.col(f"{t[0]}_name").alias("canonical")) for t in ("nation", "region")]
+    return glossary.union(parts).select(F.col("entry_idx").cast("long").alias("entry_idx"), "canonical", "file_idx")
+
+
+@register("""WITH s AS (SELECT event_id, event_id % 4 AS n, (event_id % 10) / -10.0 AS p FROM events)
+SELECT 0 AS setting, event_id AS seg_idx FROM s WHERE p < -0.8 UNION ALL SELECT 1, event_id FROM s WHERE p < -0.2 OR n >= 3 UNION ALL SELECT 2, event_id FROM s WHERE p < -0.8 OR n >= 1""")
+def threshold_sweep(spark, sf_dir):
+    i = F.col("event_id")
+    word = F.struct(F.lit("w").alias("w"), F.lit(0.0).alias("start"), F.lit(1.0).alias("end"), F.lit(0.5).alias("p"))
+    s = _table(spark, sf_dir, "events").select(i.alias("seg_idx"), F.col("event_type").alias("text"), (i % 10 / -10).alias("avg_logprob"), F.array_repeat(word, (i % 4).cast("int")).alias("words"))
+    settings = [flags.Thresholds(), flags.Thresholds(word_p_min=0.6, low_word_min=3, seg_logprob_min=-0.2), flags.Thresholds(word_p_min=0.6, low_word_min=1)]
+    return flags.sweep(s, None, False, settings).select("setting", "seg_idx")
+
+
+@register("SELECT doc_id % 5 AS recording_id, count(*) AS n_spans, count(*) FILTER (toxic = 1) AS n_clips FROM labels GROUP BY 1")
+def review_counts(spark, sf_dir):
+    return review.summary(_table(spark, sf_dir, "labels").select((F.col("doc_id") % 5).alias("recording_id"), (F.col("toxic") == 1).alias("made")))
+
+
+@register("SELECT event_id, '<b>' || event_type || '</b> ' || props AS plain FROM events")
+def stripped_marks(spark, sf_dir):
+    marked = F.concat(F.lit("<mark><b></mark>"), "event_type", F.lit("</b> <mark>"), "props", F.lit("</mark>"))
+    return _table(spark, sf_dir, "events").select("event_id", text.strip_marks(marked).alias("plain"))
