@@ -197,11 +197,3 @@ def in_slices(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + most, side="right")) - 1)
         yield first, min(last, n)
         first = min(last, n)
-
-
-def bounded_sample(df: DataFrame, by: str, rows: int, seed: int = 7) -> DataFrame:
-    """About `rows` rows at most, those of the smallest salted hashes of `by`: the same rows whatever the
-    partitioning. A threshold on the hash, from the count, leaves about four times as many to be put in order."""
-    hashed = df.withColumn("_r", F.xxhash64(F.lit(seed), F.col(by)))
-    few = hashed.where(F.pmod("_r", F.lit(1 << 30)) < int((1 << 30) * min(1.0, 4.0 * rows / max(1, df.count()))))
-    return few.orderBy(F.pmod("_r", F.lit(1 << 30)), by).limit(rows).drop("_r")

@@ -2,19 +2,22 @@
 
 The content view is hashed character trigrams (square roots of frequencies) and shares of character kinds;
 the metadata view is source, language, length and line layout. Each view has a logistic regression. In
-each round, each view labels the pool documents it is most sure of, and these pseudo-labels train the
+each round, each view labels the documents of the pool it is most sure of, and these pseudo-labels train the
 *other* view. Both are then calibrated (Platt) on labelled rows they never saw, and a last regression
 over the two calibrated log odds combines them to score every whole document.
 
-Learning takes a bounded sample, from rows outside the held-out fold: at most `LABELLED` rows of each label
-and `POOL` rows without a label. Executors turn whole texts into feature vectors; only those of the sample
-reach the driver.
+Nothing is learned from the held-out fold. The labelled sample is bounded: at most `LABELLED` rows of each
+label. The pool is every other document of the learning fold that has an id and a text, whatever its number:
+in each round executors score all of it, equal documents count once, and the surest are found from counts of
+rounded log odds. Those at least as sure as `SUREST` are equally sure; ties go by a hash of the document.
+Feature vectors reach the driver only of the sample and of the documents chosen. Without a pool (all of the
+learning fold is in the sample) nothing is exchanged.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,10 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talkgrid.llm.common import bounded_sample, held_out
+from talkgrid.llm.common import discard, held_out, stored, tidy
 from talkgrid.llm.language_id import sample_by
 
-LABELLED, POOL, ROUNDS, SURE = 700, 1200, 4, 0.95
+LABELLED, ROUNDS, SURE, SUREST = 700, 4, 0.95, 6.0
+#: Documents taken as good and as bad in the first round; round r takes r times as many.
+GOOD, BAD = 60, 20
+#: Log odds are rounded to so many steps a unit.
+FINE = 10
 CELLS, KINDS, META = 2048, 10, 96 + 32 + 12
 REJECT_BELOW = 0.5
 
@@ -107,32 +114,67 @@ def newton(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     return w
 
 
-def co_train(views: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], prior: float, rounds: int = ROUNDS, seed: int = 9) -> dict:
-    """Models of both views, their calibration and their combination. `views` and `pool` hold a matrix for each
-    view; `prior` is the share of good documents, to which the sample is weighted back."""
+def steps_of(model: Logistic, platt: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Log odds of one view in whole steps, from -SUREST to SUREST."""
+    return np.rint(np.clip(model(x) * platt[0] + platt[1], -SUREST, SUREST) * FINE).astype(np.int32)
+
+
+LEAST_SURE = int(np.ceil(np.log(SURE / (1 - SURE)) * FINE))
+
+
+def surest(keys: np.ndarray, steps: np.ndarray, most: int, sign: int) -> np.ndarray:
+    """Where the `most` documents are that one view is surest of, good (sign 1) or bad (-1)."""
+    order = np.lexsort((keys, -sign * steps))[:most]
+    return order[sign * steps[order] >= LEAST_SURE]
+
+
+#: From (models, their calibrations, number of good, number of bad) to, for each view, what it is sure of:
+#: the documents' keys, their labels and their matrices in both views.
+Choose = Callable[[list, list, int, int], list[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]]
+
+
+def choose_from(keys: np.ndarray, pool: list[np.ndarray]) -> Choose:
+    """A choice from a pool in memory."""
+
+    def choose(models: list, platts: list, good: int, bad: int) -> list:
+        out = []
+        for v in (0, 1):
+            steps = steps_of(models[v], platts[v], pool[v]) if len(keys) else np.zeros(0, np.int32)
+            up, down = surest(keys, steps, good, 1), surest(keys, steps, bad, -1)
+            both = np.concatenate([up, down])
+            out.append((keys[both], np.repeat([1, 0], [len(up), len(down)]), [p[both] for p in pool]))
+        return out
+
+    return choose
+
+
+def co_train(views: list[np.ndarray], y: np.ndarray, choose: Choose, prior: float, rounds: int = ROUNDS, seed: int = 9) -> dict:
+    """Models of both views, their calibration and their combination. `views` holds a matrix for each view;
+    `choose` gives the pseudo-labels; `prior` is the share of good documents, to which the sample is weighted
+    back."""
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(y))
     cut = np.zeros(len(y), bool)
     cut[order[: len(y) // 3]] = True  # calibration rows
     weight = np.where(y == 1, prior / max(1, (y == 1).sum()), (1 - prior) / max(1, (y == 0).sum()))
     ridge = (0.02, 0.02)
-    extra: list[dict[int, int]] = [{}, {}]
+    extra: list[dict[int, tuple[int, np.ndarray]]] = [{}, {}]
     for r in range(rounds + 1):
         models = []
         for v in (0, 1):
-            ids = sorted(extra[v])
-            x = np.concatenate([views[v][~cut], pool[v][ids]])
-            t = np.concatenate([y[~cut], [extra[v][i] for i in ids]])
-            w = np.concatenate([weight[~cut], np.full(len(ids), 0.3 * weight[~cut].sum() / max(1, len(ids)))])
+            taught = [extra[v][k] for k in sorted(extra[v])]
+            x = np.concatenate([views[v][~cut], *(row[None] for _, row in taught)])
+            t = np.concatenate([y[~cut], [label for label, _ in taught]])
+            w = np.concatenate([weight[~cut], np.full(len(taught), 0.3 * weight[~cut].sum() / max(1, len(taught)))])
             models.append(Logistic(x, t, w, ridge[v]))
-        if r == rounds or not len(pool[0]):
+        if r == rounds:
             break
-        for v in (0, 1):
-            platt = newton(models[v](views[v][~cut])[:, None], y[~cut])
-            q = 1 / (1 + np.exp(-np.clip(models[v](pool[v]) * platt[0] + platt[1], -30, 30)))
-            good, bad = np.argsort(-q, kind="stable")[: 60 * (r + 1)], np.argsort(q, kind="stable")[: 20 * (r + 1)]
-            extra[1 - v].update({int(i): 1 for i in good if q[i] >= SURE})
-            extra[1 - v].update({int(i): 0 for i in bad if q[i] <= 1 - SURE})
+        platts = [newton(models[v](views[v][~cut])[:, None], y[~cut]) for v in (0, 1)]
+        found = choose(models, platts, GOOD * (r + 1), BAD * (r + 1))
+        if not any(len(keys) for keys, _, _ in found):
+            break
+        for v, (keys, label, rows) in enumerate(found):
+            extra[1 - v].update({int(k): (int(t), row) for k, t, row in zip(keys, label, rows[1 - v], strict=True)})
     platts = [newton(models[v](views[v][cut])[:, None], y[cut]) for v in (0, 1)]
     z = np.stack([models[v](views[v]) * platts[v][0] + platts[v][1] for v in (0, 1)], axis=1)
     shift = np.log(prior / (1 - prior)) - np.log(max(1, (y == 1).sum()) / max(1, (y == 0).sum()))
@@ -158,7 +200,67 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
             a, b = _views(batch)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), *(pa.array([x.tobytes() for x in m], pa.binary()) for m in (a, b))], names=["doc_id", "quality", "a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("quality"), *(pa.array([x.tobytes() for x in m], pa.binary()) for m in (a, b))], names=["key", "quality", "a", "b"])
+
+
+def _matrices(rows: DataFrame) -> tuple[pa.Table, list[np.ndarray]]:
+    """Rows (key, quality, text, lang, source), few, on the driver: by key, and as a matrix for each view."""
+    found = rows.select("key", "quality", "text", "lang", "source").mapInArrow(_vectors, "key long, quality int, a binary, b binary").toArrow().sort_by([("key", "ascending"), ("a", "ascending"), ("b", "ascending")])
+    wide = CELLS + KINDS, META
+    return found, [np.frombuffer(b"".join(found.column(c).to_pylist()), np.float32).reshape(-1, n) for c, n in zip("ab", wide, strict=True)]
+
+
+def _sure(models):
+    """Rows (key, text, lang, source) to (key, s0, s1), the views' steps, where one of them is sure."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                steps = [steps_of(m, p, x) for m, p, x in zip(*models.value, _views(part), strict=True)]
+                mask = pa.array((np.abs(steps[0]) >= LEAST_SURE) | (np.abs(steps[1]) >= LEAST_SURE))
+                yield pa.RecordBatch.from_arrays([x.filter(mask) for x in (part.column("key"), *map(pa.array, steps))], names=["key", "s0", "s1"])
+
+    return run
+
+
+def choose_in(pool: DataFrame) -> Choose:
+    """A choice from all rows of `pool` (key, text, lang, source); rows of one key are one document."""
+
+    def choose(models: list, platts: list, good: int, bad: int) -> list:
+        spark = pool.sparkSession
+        sent = spark.sparkContext.broadcast((models, platts))
+        sure = stored(pool.mapInArrow(_sure(sent), "key long, s0 int, s1 int").distinct(), "sure")
+        counts = sure.groupBy("s0", "s1").count().toPandas()  # bounded by the number of steps
+        wanted = F.lit(False)
+        for v in (0, 1):
+            for sign, most in ((1, good), (-1, bad)):
+                many = counts.groupby(sign * counts[f"s{v}"])["count"].sum().sort_index(ascending=False)
+                many = many[many.index >= LEAST_SURE]
+                before = many.cumsum() - many
+                for step, n in many[before < most].items():
+                    # of a step with more than are needed, those of the smallest hashes: four times as many, to be put in order
+                    share = max(64, 4 * (most - before[step])) / n
+                    near = F.col("key") <= int(share * 2**64) - 2**63 if share < 1 else F.lit(True)
+                    wanted = wanted | ((F.col(f"s{v}") == int(sign * step)) & near)
+        some = sure.where(wanted).toPandas().sort_values("key")
+        discard(sure)
+        keys = some["key"].to_numpy(np.int64)
+        picks = []
+        for v in (0, 1):
+            steps = some[f"s{v}"].to_numpy(np.int32)
+            up, down = surest(keys, steps, good, 1), surest(keys, steps, bad, -1)
+            picks.append((keys[np.concatenate([up, down])], np.repeat([1, 0], [len(up), len(down)])))
+        every = np.unique(np.concatenate([k for k, _ in picks]))
+        if not len(every):
+            return [(*p, [np.zeros((0, CELLS + KINDS), np.float32), np.zeros((0, META), np.float32)]) for p in picks]
+        chosen = spark.createDataFrame([(int(k),) for k in every], "key long")
+        texts = pool.join(F.broadcast(chosen), "key").groupBy("key").agg(F.min(F.struct("text", "lang", "source")).alias("r")).select("key", F.lit(None).cast("int").alias("quality"), "r.*")
+        found, rows = _matrices(texts)
+        at = [np.searchsorted(found.column("key").to_numpy(), k) for k, _ in picks]
+        return [(k, t, [m[i] for m in rows]) for (k, t), i in zip(picks, at, strict=True)]
+
+    return choose
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -166,26 +268,23 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> dict | None:
-    """A model from the sample; None unless both labels occur in it."""
+    """A model from the labelled sample and the pool; None unless both labels occur in the sample."""
     y = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     rows = _texts(docs)
     counts = dict(y.groupBy("quality").count().collect())
     if len(counts) < 2:
         return None
-    # only ids meet here; the few chosen are then sent to the texts
-    chosen = sample_by(y, "quality", LABELLED).select("doc_id", "quality").limit(3 * LABELLED)
-    free = bounded_sample(rows.where(~held_out()).select("doc_id").join(y, "doc_id", "left_anti").where("doc_id IS NOT NULL"), "doc_id", POOL)
-    wanted = chosen.unionByName(free.distinct().withColumn("quality", F.lit(None).cast("int")))
-    sample = rows.join(F.broadcast(wanted), "doc_id").limit(4 * (LABELLED + POOL))
-    found = sample.select("doc_id", "text", "lang", "source", "quality").mapInArrow(_vectors, "doc_id long, quality int, a binary, b binary").toArrow().sort_by([("doc_id", "ascending"), ("a", "ascending")])
-    if not found.num_rows:
-        return None
-    quality = found.column("quality").to_pandas().to_numpy(dtype=float)
-    views = [np.frombuffer(b"".join(found.column(c).to_pylist()), np.float32).reshape(found.num_rows, -1) for c in "ab"]
-    has = ~np.isnan(quality)
-    if len(set(quality[has])) < 2:
-        return None
-    return co_train([v[has] for v in views], quality[has], [v[~has] for v in views], counts[1] / (counts[0] + counts[1]))
+    with tidy():
+        # the few chosen ids are sent to the texts
+        chosen = F.broadcast(stored(sample_by(y, "quality", LABELLED).select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id").limit(3 * LABELLED), "labelled"))
+        sample = rows.join(chosen, "doc_id").withColumnRenamed("doc_id", "key").distinct().orderBy(F.xxhash64("key"), "key", F.xxhash64("text", "lang", "source")).limit(4 * LABELLED)
+        found, views = _matrices(sample)
+        quality = found.column("quality").to_numpy().astype(float)
+        if len(set(quality)) < 2:
+            return None
+        marked = [F.coalesce(F.concat(F.lit("="), c), F.lit("")) for c in ("lang", "source")]
+        pool = rows.where("doc_id IS NOT NULL AND length(text) > 0").where(~held_out()).join(chosen, "doc_id", "left_anti")
+        return co_train(views, quality, choose_in(pool.select(F.xxhash64("text", *marked).alias("key"), "text", "lang", "source")), counts[1] / (counts[0] + counts[1]))
 
 
 def _score(model):

@@ -79,12 +79,31 @@ def test_views_teach_each_other():
     rng = np.random.default_rng(2)
     y = (rng.random(600) < 0.7).astype(float)
     views = [(rng.normal(0, 1, (600, 5)) + y[:, None]).astype(np.float32), (rng.normal(0, 1, (600, 4)) + 0.7 * y[:, None]).astype(np.float32)]
-    model = quality_classifier.co_train([v[:200] for v in views], y[:200], [v[200:400] for v in views], 0.7)
+    choose = quality_classifier.choose_from(np.arange(200), [v[200:400] for v in views])
+    model = quality_classifier.co_train([v[:200] for v in views], y[:200], choose, 0.7)
     both, a, b = quality_classifier.combined(model, [v[400:] for v in views])
     right = lambda q: ((q >= 0.5) == y[400:]).mean()
     assert min(model["pseudo"]) > 0 and right(both) >= max(right(a), right(b)) - 0.02 and right(both) > 0.85
 
 
+def test_choice_over_all_rows_matches_a_choice_in_memory(spark, tables):
+    docs = tables["documents"].select("text", "lang", "source").where("length(text) > 0").limit(400)
+    rows = docs.unionByName(docs.limit(150)).withColumn("key", F.xxhash64("text", "lang", "source"))
+    table, pool = quality_classifier._matrices(rows.distinct().withColumn("quality", F.lit(0)))
+    keys = table.column("key").to_numpy()
+    rng = np.random.default_rng(4)
+    y = (pool[1][:, 128] > np.median(pool[1][:, 128])).astype(float)
+    models = [quality_classifier.Logistic(p + rng.normal(0, 1e-3, p.shape).astype(np.float32), y, np.ones(len(y)), 0.02) for p in pool]
+    for scale, good, bad in ((3.0, 40, 25), (50.0, 30, 30), (0.01, 20, 20), (50.0, 1000, 1000)):  # 50: most are tied, 0.01: none is sure
+        platts = [np.array([scale, 0.0])] * 2
+        got = quality_classifier.choose_in(rows)(models, platts, good, bad)
+        want = quality_classifier.choose_from(keys, pool)(models, platts, good, bad)
+        for (k, t, m), (k0, t0, m0) in zip(got, want, strict=True):
+            assert list(k) == list(k0) and list(t) == list(t0) and all(np.array_equal(a, b) for a, b in zip(m, m0, strict=True))
+    none = quality_classifier.choose_in(rows.limit(0))(models, platts, 5, 5)
+    assert [len(k) for k, _, _ in none] == [0, 0]
+
+
 def test_edge_rows_empty_tables_and_clashing_columns(spark, tables):
     known = tables["documents"].select("doc_id", "text", "lang", "source", "n_chars").withColumn("doc_id", F.col("doc_id") + 1000)
     labels = tables["labels"].withColumn("doc_id", F.col("doc_id") + 1000)
