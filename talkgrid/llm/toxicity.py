@@ -9,7 +9,8 @@ text is scored. A document's probability is calibrated from its two highest wind
 Only documents are labelled, so training is multiple-instance learning: a document stands for its
 highest window, found anew as the network learns. The log odds a training document sees leave that
 document out, so that inputs look in training as they will on unseen text. The sample is bounded: `SAMPLE`
-rows of each label, of at most `LONGEST` characters, from the learning fold.
+rows of each label from the learning fold; of a text over `LONGEST` characters, a stretch of `LONGEST` at a
+place hashed from its id is learned from.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -28,7 +30,7 @@ from talkgrid.llm.decontaminate import words_of
 from talkgrid.llm.language_id import sample_by
 
 HIDDEN, SPAN, STRIDE = 8, 24, 12
-SAMPLE, LONGEST = {1: 600, 0: 1200}, 8000
+SAMPLE, LONGEST = {1: 600, 0: 1200}, 30_000
 GRAMS, CELLS, WORDS, ROWS, WIDE = (4, 5, 6), 1 << 19, 1 << 17, 1 << 12, 6
 DIM = 2 * WIDE + 3
 STEPS, BATCH, THRESHOLD = 200, 144, 0.7
@@ -318,13 +320,22 @@ def score_texts(model):
     return run
 
 
+def _drawn(text: DataFrame, y: DataFrame) -> pd.DataFrame:
+    """SAMPLE rows (doc_id, text, toxic) of each label at most, equal ones once, in a fixed order."""
+    # twice the rows wanted, as some have no text; few enough to be sent to the texts
+    parts = [text.join(F.broadcast(sample_by(y.where(F.col("toxic") == k), "toxic", 2 * n).limit(3 * n)), "doc_id").orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id", "text").limit(n) for k, n in SAMPLE.items()]
+    return parts[0].unionByName(parts[1]).toPandas().drop_duplicates().sort_values(["doc_id", "text"])
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> dict | None:
-    """A model from a bounded sample of the learning fold; None unless both labels occur in it."""
+    """A model from a bounded sample of the learning fold; None unless documents of both labels have texts."""
     y = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    text = docs.where(F.col("text").isNotNull()).where(F.length("text") <= LONGEST).select("doc_id", "text")
-    # twice the rows wanted, as some have no text or a long one; few enough to be sent to the texts
-    parts = [text.join(F.broadcast(sample_by(y.where(F.col("toxic") == k), "toxic", 2 * n).limit(3 * n)), "doc_id").orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id", "text").limit(n) for k, n in SAMPLE.items()]
-    found = parts[0].unionByName(parts[1]).toPandas().drop_duplicates().sort_values(["doc_id", "text"])
+    some = docs.where(F.length("text") > 0)
+    start = F.pmod(F.xxhash64(F.lit(13), "doc_id"), F.greatest(F.lit(1), F.length("text") - LONGEST + 1)) + 1
+    text = some.select("doc_id", F.col("text").substr(start.cast("int"), F.lit(LONGEST)).alias("text"))
+    found = _drawn(text, y)
+    if found["toxic"].nunique() < 2:  # a label's drawn rows are all without text: draw from those that have one
+        found = _drawn(text, y.join(some.select("doc_id"), "doc_id", "left_semi"))
     if found["toxic"].nunique() < 2:
         return None
     return train(found["text"].tolist(), found["toxic"].tolist())

@@ -59,7 +59,7 @@ def test_pooled_labels_match_a_plain_scan_of_the_stretch():
 def test_toxic_words_are_found_in_held_out_documents(spark, tables):
     got = queries.op2_toxicity(spark, SF).toPandas().merge(tables["labels"].toPandas(), on="doc_id").merge(tables["documents"].select("doc_id", "lang").toPandas(), on="doc_id")
     out = got[got.held_out & (got.lang == "en") & (got.quality == 1)]
-    assert out[out.toxic == 1].predicted.mean() > 0.5 and out[out.toxic == 0].predicted.mean() < 0.05
+    assert out[out.toxic == 1].predicted.mean() > 0.8 and out[out.toxic == 0].predicted.mean() < 0.05
     assert got.score.between(0, 1).all() and set(got.predicted[got.score >= 0.7]) == {1}
 
 
@@ -104,6 +104,17 @@ def test_choice_over_all_rows_matches_a_choice_in_memory(spark, tables):
     assert [len(k) for k, _, _ in none] == [0, 0]
 
 
+def test_labels_only_on_long_texts_and_on_rows_without_text_are_learned_from(spark):
+    plain, vile = "the river runs past the old mill and over the stones ", "you rotten filthy scum get lost "
+    ids = [i for i in range(200) if not fold(np.array([i]))[0]][:80]
+    docs = [(i, (plain * 3 + vile) * 450 if k % 2 else plain * 12 + f"word{k}", "en", "s", 0) for k, i in enumerate(ids)]
+    docs += [(i, None, "en", "s", 0) for i in range(1000, 1400)]
+    labels = spark.createDataFrame([(i, 1, k % 2) for k, i in enumerate(ids)] + [(i, 1, 1) for i in range(1000, 1400)], "doc_id long, quality int, toxic int")
+    assert min(len(d[1]) for d in docs[1:80:2]) > toxicity.LONGEST
+    got = {r.doc_id: r.score for r in toxicity.toxicity(spark.createDataFrame(docs, DOCS), labels).collect()}
+    assert min(got[i] for i in ids[1::2]) > 0.7 > 0.3 > max(got[i] for i in ids[::2])
+
+
 def test_edge_rows_empty_tables_and_clashing_columns(spark, tables):
     known = tables["documents"].select("doc_id", "text", "lang", "source", "n_chars").withColumn("doc_id", F.col("doc_id") + 1000)
     labels = tables["labels"].withColumn("doc_id", F.col("doc_id") + 1000)
