@@ -33,8 +33,13 @@ def ship(spark: SparkSession) -> None:
                 z.write(f, f.relative_to(root.parent))
         sc.addPyFile(str(path))
         _shipped.add(sc.applicationId)
-        key = "spark.sql.execution.arrow.maxBytesPerBatch"  # texts may be long: what Python gets at once is bounded
-        spark.conf.set(key, str(min(BATCH_BYTES, int(spark.conf.get(key).rstrip("b")))))
+        bound_batches(spark, BATCH_BYTES)
+
+
+def bound_batches(spark: SparkSession, most: int) -> None:
+    """From now on, what this session hands Python at once is about `most` bytes, or one row: texts may be long."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(key, str(min(most, int(spark.conf.get(key).rstrip("b")))))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

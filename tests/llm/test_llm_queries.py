@@ -77,3 +77,25 @@ def test_decontamination_judges_each_row_by_its_text(spark, tmp_path):
     kept = stages.benchmark_decontamination(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
     assert kept.columns == ["doc_id", "text"]
     assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, (d for d in docs if leak not in (d[1] or ""))))
+
+
+def test_stages_hand_python_little_at_once(spark):
+    key, limit = "spark.sql.execution.arrow.maxBytesPerBatch", 1 << 20
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    long = spark.range(400, numPartitions=1).select(F.repeat(F.lit("word "), 2000).alias("text"))
+    before = spark.conf.get(key)
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            spark.conf.set(key, str(16 << 20))
+            stage(spark, docs, SF)
+            got = [r.n for r in long.mapInArrow(sizes, "n long").collect()]
+            assert max(got) <= limit and sum(got) >= 4_000_000
+    finally:
+        spark.conf.set(key, before)
